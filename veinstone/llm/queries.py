@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .near_dedup import op3_near_dedup
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op7_quality_rules": op7_quality_rules,
 }
 
