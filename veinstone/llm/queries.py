@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
+from .packing import op5_packing
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
     "op3_near_dedup": op3_near_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
     "op7_quality_rules": op7_quality_rules,
 }
 
