@@ -5,9 +5,11 @@ from __future__ import annotations
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .packing import op5_packing
+from .pii import op2_pii
 from .quality_rules import op7_quality_rules
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
