@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .media import op8_media
 from .mixing import op4_mixing
 from .near_dedup import op3_near_dedup
 from .packing import op5_packing
 from .pii import op2_pii
+from .quality_classifier import op6_quality_classifier
 from .quality_rules import op7_quality_rules
+from .sharding import op9_sharding
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
+    "op8_media": op8_media,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
