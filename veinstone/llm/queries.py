@@ -10,8 +10,12 @@ from .pii import op2_pii
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op9_sharding
+from .url_graph import op1_url_graph
+from .warc import op10_warc
 
 QUERIES = {
+    "op1_url_graph": op1_url_graph,
+    "op10_warc": op10_warc,
     "op2_pii": op2_pii,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
