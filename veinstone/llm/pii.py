@@ -341,36 +341,40 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _found(field: Field, with_text: bool):
+def _found(field: Field, wanted: list[str]):
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for text in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+            columns: dict[str, list] = {name: [] for name in RESULTS}
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 base, spans = all_spans(text or "", field)
                 row = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                row += [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), redacted(text, spans) if with_text and text and spans else text]
-                for c, v in zip(columns, row, strict=True):
+                row += [hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), redacted(text, spans) if text and spans else text]
+                for c, v in zip(columns.values(), row, strict=True):
                     c.append(v)
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            made = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()] * 3, strict=True)][: 7 if with_text else 6]
-            names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"][: 7 if with_text else 6]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + made, [batch.schema.names[i] for i in keep] + names)
+            made = [pa.array(columns[n], pa.int64() if n.startswith("n_") else pa.string()) for n in wanted]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, [*batch.schema.names[:-1], *wanted])
 
     return run
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with counts of base spans, their digest, all spans, and the redacted text if asked for."""
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", *["redacted string"] * with_text])
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(_found(trained(), with_text), schema)
+#: What is found in a text: counts of base spans, the digest of the base spans, all spans, the text with all replaced.
+RESULTS = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
+
+
+def find(docs: DataFrame, keep: list[str], text: str = "text", wanted: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the ``wanted`` of ``RESULTS`` (all but the redacted text); a kept column with the name of a result is replaced by it."""
+    wanted = RESULTS[:-1] if wanted is None else wanted
+    keep = [c for c in keep if c not in wanted]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {'long' if n.startswith('n_') else 'string'}" for n in wanted]
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(_found(trained(), wanted), ", ".join(kinds))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` in its own columns, with personal data in ``text`` replaced by its kind, and ``n_chars`` made right where there is one."""
-    keep = [c for c in docs.columns if c != "text"]
-    out = find(docs, keep, with_text=True).withColumn("text", F.col("redacted"))
-    return (out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in keep else out).select(*docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    plain = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    out = find(plain, list(names.values()), wanted=["redacted"]).select(F.col("redacted").alias("text"), *[F.col(n).alias(c) for c, n in names.items()])
+    return (out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in names else out).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

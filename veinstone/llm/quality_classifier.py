@@ -29,7 +29,10 @@ from .common import table
 BITS = 18
 GRADES = 3
 SAMPLE_ROWS = 12_000
-STEPS, RATE, L1 = 150, 0.3, 2e-4
+#: The penalty is L1 over the root of the number of rows.
+STEPS, RATE, L1 = 300, 0.3, 0.022
+#: Words in fewer rows of the sample than this weigh nothing.
+LEAST_ROWS = 3
 #: A document stays if the probability of the best grade is at least this.
 LEAST_TAIL = 0.5
 
@@ -80,6 +83,8 @@ def fit(places: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, steps:
         return Model(weights, shape_weights, np.where(np.arange(1, GRADES) <= only, -50.0, 50.0))
     sizes = np.array([len(p) for p in places])
     row, flat = np.repeat(np.arange(len(places)), sizes), np.concatenate(places).astype(np.int64)
+    often = np.bincount(flat, minlength=1 << BITS)[flat] >= LEAST_ROWS
+    row, flat = row[often], flat[often]
     used, flat = np.unique(flat, return_inverse=True)
     w, seen, seen_s, seen_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(SHAPE, 1e-8), np.full(GRADES - 1, 1e-8)
     n = len(places)
@@ -98,7 +103,7 @@ def fit(places: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, steps:
         seen_t += by_cut**2
         step = rate / np.sqrt(seen)
         w = w - step * by_word
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / np.sqrt(n), 0)
         shape_weights = shape_weights - rate / np.sqrt(seen_s) * by_shape
         thresholds = np.sort(thresholds - rate / np.sqrt(seen_t) * by_cut)
     weights[used] = w
