@@ -248,3 +248,11 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 10 and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", ["op3_near_dedup", "op7_quality_rules", "op10_warc"])
+def test_sql(spark, name):
+    from tests.compare import differences
+    from veinstone.llm.queries import ORACLES, QUERIES
+
+    assert differences(QUERIES[name](spark, SF), ORACLES[name], SF) == ""

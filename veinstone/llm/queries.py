@@ -8,7 +8,7 @@ from .near_dedup import op3_near_dedup
 from .packing import op5_packing
 from .pii import op2_pii
 from .quality_classifier import op6_quality_classifier
-from .quality_rules import op7_quality_rules
+from .quality_rules import BOILERPLATE, TERMINAL, op7_quality_rules
 from .sharding import op9_sharding
 from .url_graph import op1_url_graph
 from .warc import op10_warc
@@ -26,4 +26,38 @@ QUERIES = {
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_STRIP = "regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
+
+#: Exact similarity of all pairs that share a shingle, and reachability by recursion.
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+reach AS (SELECT doc_id AS node, doc_id AS label FROM documents UNION SELECT b, label FROM reach JOIN links ON a = node),
+least AS (SELECT node, min(label) AS label FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, label AS component_id, doc_id = label AS kept FROM documents JOIN least ON node = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+_RULES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS marks FROM documents),
+grams AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+twice AS (SELECT doc_id, p FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM twice, range(5) t(o) GROUP BY doc_id),
+lines AS (SELECT doc_id, marks, line, {_STRIP} AS s FROM (SELECT doc_id, marks, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (SELECT *, length(s) > 0 AND ((marks > 0 AND (length(regexp_replace(s, '[^#*$%&|<>]+', '', 'g')) * 20 > length(s) OR (length(regexp_replace(s, '[^|]+', '', 'g')) >= 2 AND length(regexp_replace(s, '[^|]+', '', 'g')) * 30 > length(s))))
+  OR (length(s) >= 12 AND upper(s) = s AND lower(s) <> s) OR (length(s) <= 160 AND regexp_matches(s, '{BOILERPLATE}')) OR (length(s) <= 16 AND NOT regexp_matches(s, '{TERMINAL}'))) AS fails FROM lines),
+by_doc AS (SELECT doc_id, count(*) FILTER (s <> '') - count(DISTINCT line) FILTER (s <> '') AS n_dup_lines, coalesce(sum(length(line)) FILTER (fails), 0)::BIGINT AS lost_chars FROM judged GROUP BY doc_id),
+m AS (SELECT doc_id, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, marks AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, lost_chars FROM d JOIN by_doc USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_chars * 100 <= length(text) * 60 AS kept FROM m
+"""
+
+_ARCHIVES = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM g
+"""
+
+ORACLES: dict[str, str] = {"op3_near_dedup": _NEAR, "op7_quality_rules": _RULES, "op10_warc": _ARCHIVES}
