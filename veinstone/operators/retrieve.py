@@ -110,9 +110,11 @@ def _bm25(items: DataFrame, asked: list, k: int, k1: float, b: float, id_type: s
                     for i, f in found.items():
                         m[row, i] = f * (k1 + 1) / (f + k1 * (1 - b + b * size / average))
                 scores = np.round(m @ weight, 6)
+                place = np.empty(len(part), np.int64)
+                place[sorted(range(len(part)), key=lambda r: names[start + r])] = np.arange(len(part))  # noqa: B023
                 for q in range(len(ids)):
                     hit = np.flatnonzero(scores[:, q] > 0)
-                    order = sorted(hit, key=lambda r: (-scores[r, q], names[start + r]))[:k]  # noqa: B023
+                    order = hit[np.lexsort((place[hit], -scores[hit, q]))[:k]]
                     kept += [(ids[q], names[start + r], float(scores[r, q])) for r in order]
             frame = pd.DataFrame(kept, columns=["query_id", "item_id", "score"])
             yield pa.RecordBatch.from_pandas(frame.astype({"score": float}), schema=pa.schema([("query_id", pa.int64() if id_type == "bigint" else pa.string()), ("item_id", pa.int64() if item_type == "bigint" else pa.string()), ("score", pa.float64())]), preserve_index=False)
