@@ -100,7 +100,8 @@ def planned(docs: DataFrame, seed: int = 4, weights: tuple[int, ...] = WEIGHTS,
     seats = sainte_lague(np.array(aims), round(sum(aims) / block), most) if found else []
     rows = [(r["source"], i, r["source_size"], float(t), int(s), max(1, -(-r["docs"] // SHARD_DOCS))) for i, (r, t, s) in enumerate(zip(found, aims, seats, strict=True))]
     sources = spark.createDataFrame(rows, "source string, source_no long, source_size long, target double, seats long, shards long")
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop("source").withColumn("shard", F.pmod("draw", "shards"))
+    # At most MOST_SOURCES narrow rows.
+    placed = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop("source").withColumn("shard", F.pmod("draw", "shards"))
     shards = placed.groupBy("source_no", "shard", "seats").agg(F.sum("size").alias("words")).withColumn("blocks", F.ceil(F.col("words") / block))
     quotas = shards.groupBy("source_no").applyInPandas(_shard_quotas, "source_no long, shard long, quota long")
     run = Window.partitionBy("source_no", "shard").orderBy("draw", "doc_id", "size")

@@ -9,7 +9,7 @@ The numbering is a range partitioning of narrow rows (no texts move) and one cou
 sort key includes the checksum, so a doc_id with a third of all rows is split unless its rows are equal in all keys;
 for those the order is arbitrary and the partition is one run of fixed-width rows.
 
-Defined results: a null text has size 1 and no checksum (null). Repeated rows have places of their own. A null doc_id
+Defined results: a null text is empty: size 1, checksum 0. Repeated rows have places of their own. A null doc_id
 sorts first. Other columns are ignored. An empty table gives an empty result.
 """
 
@@ -86,7 +86,7 @@ def _lookup(starts: list[int]):
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 9) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, size, text_crc32, row_number, shard, slot."""
-    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     rows = numbered(narrow, ["doc_id", "text_crc32", "size"])
     n = rows.agg(F.max("row_number")).head()[0]
     n = 0 if n is None else n + 1
