@@ -17,6 +17,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -138,9 +139,9 @@ def graded(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Dat
             scores = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words, shaped = parts(text)
-                for word in words - known.keys():
+                for word in (w for w in words if w not in known):
                     known[word] = float(weights[place(word)])
-                scores.append(sum(sorted(map(known.__getitem__, words))) + float(np.dot(shaped, shape_weights)))
+                scores.append(math.fsum(map(known.__getitem__, words)) + float(np.dot(shaped, shape_weights)))
                 if len(known) > 500_000:
                     known.clear()
             p = own.grades(np.array(scores, np.float64))
