@@ -56,7 +56,7 @@ def bm25(items: DataFrame, queries: DataFrame, k: int = OUTPUT, k1: float = K1,
     """Top k of every query (query_id, text) over items (item_id, text), by score rounded to 6 places, then item_id.
 
     The queries' words are all that the scoring needs of the corpus statistics, so two scans with map-side sums do: one
-    counts documents per query word, one scores block by block as a matrix product and keeps each batch's top k.
+    counts documents per query word, one scores each text against all queries and keeps each batch's top k.
     """
     asked = [(r["query_id"], Counter(tokenized(r["text"]))) for r in queries.select("query_id", "text").collect()]
     asked.sort(key=lambda x: x[0])
@@ -104,12 +104,13 @@ def _bm25(items: DataFrame, asked: list, k: int, k1: float, b: float, id_type: s
             texts, names = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
             for start in range(0, len(texts), 512):
                 part = texts[start : start + 512]
-                m = np.zeros((len(part), len(index)))
+                scores = np.zeros((len(part), len(ids)))
                 for row, text in enumerate(part):
                     size, found = _counts(text, index)
-                    for i, f in found.items():
-                        m[row, i] = f * (k1 + 1) / (f + k1 * (1 - b + b * size / average))
-                scores = np.round(m @ weight, 6)
+                    if found:  # only the rows of the words that the text has
+                        f = np.fromiter(found.values(), float, len(found))
+                        scores[row] = (f * (k1 + 1) / (f + k1 * (1 - b + b * size / average))) @ weight[list(found)]
+                scores = scores.round(6)
                 place = np.empty(len(part), np.int64)
                 place[sorted(range(len(part)), key=lambda r: names[start + r])] = np.arange(len(part))  # noqa: B023
                 for q in range(len(ids)):

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, mentions, text
 from ..operators import claims, evaluate, resolve, retrieve, store
 from ..sources import documents as sources
+from ..sources.tables import spread, table
 
 CANDIDATES = retrieve.CANDIDATES
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Text.
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"))
 
 
 def bm25_topk(spark, d, k: int = 10):
