@@ -45,7 +45,7 @@ BROADCAST_IDS = 2_000_000
 #: Buckets up to this many nodes are compared as pairs of rows, larger ones in blocks.
 SMALL = 16
 #: A block holds about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 1_000_000, 2048
+BLOCK_SHINGLES, BLOCK_NODES = 250_000, 512
 
 
 def shingles(text: bytes | None) -> np.ndarray:
