@@ -194,6 +194,17 @@ def test_spread(spark):
     assert {r.page_id: r.verdict for r in url_graph.judge(pages).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_family_without_pages(spark):
+    """Hosts meet in ancestors that have no pages; IP addresses and lone top labels are no family."""
+    urls = ["http://a.x.example.info/", "http://b.y.example.info/", "http://c.d.e.other.info.", "http://10.9.8.7/", "http://11.9.8.7:80/", "http://two.info/"]
+    edges = url_graph.host_edges(spark.createDataFrame([(u.split("/")[2], None) for u in urls], "host string, html string"))
+    ups = [("a.x.example.info", "x.example.info"), ("b.y.example.info", "y.example.info"), ("x.example.info", "example.info"), ("y.example.info", "example.info"), ("c.d.e.other.info.", "d.e.other.info."), ("d.e.other.info.", "e.other.info."), ("e.other.info.", "other.info.")]
+    assert sorted(tuple(r) for r in edges.collect()) == sorted((*e, url_graph.FAMILY) for a, b in ups for e in ((a, b), (b, a)))
+    pages = spark.createDataFrame([(1, "http://m.shop.example.org/es/1", None), (2, "http://www.blog.example.org/a", None), (3, "http://www.blog.other.org/a", None)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_graph.judge(pages).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {1: "block", 2: "block", 3: "allow"} and got[2].distrust > 0 == got[3].distrust
+
+
 def test_archives(spark, tmp_path):
     big, other = "é" * 600, "y" * 1500
     html = [big, None, "", "small", "small", big, other, "\r\n\r\n" + "z" * 1200, big]

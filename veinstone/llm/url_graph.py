@@ -1,7 +1,8 @@
 """URL filters: explicit rules, and trust spread over the graph of hosts for what no rule decides.
 
 Hosts are linked by the absolute links of their pages (weighed by their number) and, in both directions with weight
-``FAMILY``, by being a subdomain of one another. Pages that a rule allows make their host a trusted seed, pages that a rule
+``FAMILY``, each to the host one label shorter, down to two labels, whether that has pages or not: so a host is tied to all
+its subdomains. Pages that a rule allows make their host a trusted seed, pages that a rule
 blocks a blocked seed, by their numbers. Personalised PageRank carries trust along links; distrust goes against them (who
 links to the blocked is suspect). A host is blocked if more than ``LEAST_SHARE`` of what reached it is distrust.
 
@@ -24,6 +25,8 @@ from .common import cut, table
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MOST_RULES = 500
 DAMPING, ROUNDS, FAMILY, LEAST_SHARE = 0.85, 12, 1.0, 0.5
+#: IP addresses, which are not subdomains of anything.
+_ADDRESS = r"^(\[|[0-9]+(\.[0-9]+){3}(:|$))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,8 +55,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(?i)href\\s*=\\s*[\"']?(https?://[^\"'\\s>]+)"), F.lit(1))
     seen = pages.select(F.col("host").alias("src"), F.explode(links).alias("link")).select("src", host_of(F.col("link")).alias("dst")).filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.filter("host != ''").select("host").union(seen.select("dst")).distinct()
-    labels = F.split("host", "\\.")
-    upward = hosts.filter(F.size(labels) > 2).select(F.col("host").alias("src"), F.array_join(F.slice(labels, F.lit(2), F.size(labels)), ".").alias("dst"))
+    labels = F.size(F.split("host", "\\."))
+    steps = hosts.filter((labels > 2) & ~F.col("host").rlike(_ADDRESS)).select("host", F.explode(F.sequence(F.lit(3), labels)).alias("n"))
+    upward = steps.select(F.expr("substring_index(host, '.', -n)").alias("src"), F.expr("substring_index(host, '.', 1 - n)").alias("dst")).filter(F.col("dst").rlike("[^.]\\.+[^.]")).distinct()
     family = upward.union(upward.select("dst", "src")).withColumn("weight", F.lit(FAMILY))
     return seen.union(family).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
