@@ -205,6 +205,22 @@ def test_family_without_pages(spark):
     assert {k: r.verdict for k, r in got.items()} == {1: "block", 2: "block", 3: "allow"} and got[2].distrust > 0 == got[3].distrust
 
 
+def test_small_scores(spark):
+    """Evidence counts however little of the whole it is."""
+    links = lambda many, one: [(many, "".join(f"<a href='http://{one}/{i}'>" for i in range(999)))]
+    html = [("spam.com/en/1", None), *links("many1.info", "spam.com"), ("few1.info", "<a href='http://spam.com/'>")]
+    for k in (2, 3, 4):
+        html += [*links(f"many{k}.info", f"few{k - 1}.info"), (f"few{k}.info", f"<a href='http://few{k - 1}.info/'>")]
+    html.append(("else.info", None))
+    pages = spark.createDataFrame([(i, f"http://{u}", h) for i, (u, h) in enumerate(html)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_graph.judge(pages).collect()}
+    assert {h for h, r in got.items() if r.verdict == "allow"} == {"else.info"}
+    assert got["few4.info"].distrust == pytest.approx(0.15 * 0.85**4 * 1e-12, rel=1e-6)
+    share = F.col("t"), F.col("d"), 0.5
+    rows = spark.createDataFrame([(1e-30, 1e-30), (0.1 + 0.2, 0.3), (0.3, 0.1 + 0.2), (1e-30, 1.001e-30), (0.0, 1e-300), (0.0, 0.0)], "t double, d double")
+    assert [r[0] for r in rows.select(url_graph.suspect(*share)).collect()] == [False, False, False, True, True, False]
+
+
 def test_archives(spark, tmp_path):
     big, other = "é" * 600, "y" * 1500
     html = [big, None, "", "small", "small", big, other, "\r\n\r\n" + "z" * 1200, big]

@@ -75,7 +75,17 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
         scores = forth.union(back).union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if k % 3 == 2 or k == rounds - 1:
             scores = cut(scores)
-    return scores.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return scores.select("host", "trust", "distrust")
+
+
+def suspect(trust: Column, distrust: Column, least_share: float) -> Column:
+    """If distrust is more than ``least_share`` of both. Scores shrink as the corpus grows, so only their ratio counts; the slack is for sums in another order."""
+    return distrust * (1 - least_share) > trust * (least_share * (1 + 1e-9))
+
+
+def shown(score: Column) -> Column:
+    """The score to nine significant digits."""
+    return F.format_string("%.8e", score).cast("double")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -88,9 +98,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, least_share: f
     total = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).head()
     seeds = counts.select("host", (F.col("a") / max(1, total[0])).alias("trusted"), (F.col("b") / max(1, total[1])).alias("blocked"))
     scores = spread(host_edges(placed.select("host", "html")), seeds)
-    out = ruled.drop("html", "trust", "distrust").join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
-    suspect = F.col("distrust") > (F.col("trust") + F.col("distrust")) * least_share
-    return out.withColumn("verdict", F.coalesce("said", F.when(suspect, "block").otherwise("allow"))).drop("said")
+    scores = scores.select("host", suspect(F.col("trust"), F.col("distrust"), least_share).alias("_suspect"), shown(F.col("trust")).alias("trust"), shown(F.col("distrust")).alias("distrust"))
+    out = ruled.drop("html", "trust", "distrust", "_suspect").join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+    return out.withColumn("verdict", F.coalesce("said", F.when(F.col("_suspect"), "block").otherwise("allow"))).drop("said", "_suspect")
 
 
 def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
