@@ -165,6 +165,16 @@ def test_field_on_held_out_sentences():
         assert pii.all_spans(clean, field)[1] == []
 
 
+@pytest.mark.parametrize("at", ["[at]", "[AT]", "(At)", "( at )", "[ at]", "(AT )", "[ @ ]", "(\tat\n)"])
+@pytest.mark.parametrize("dot", ["[dot]", "(DOT)", "[Dot]", "( dot )", "[ DOT]", "[ . ]", "( .)"])
+def test_spelled_addresses(at, dot):
+    """What the marks allow is seen: any case, inner and outer spaces, with and without digits in the name."""
+    for name in ("john", "john.7"):
+        for mail in (f"{name} {at} Example {dot} com", f"{name}{at}Example{dot}com", f"{name}{at} Example{dot} com", f"{name} {at}Example {dot}com"):
+            text = f"please write {mail} about it and then"
+            assert ("email", 13, 13 + len(mail)) in pii.all_spans(text, pii.trained())[1], text
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "to a.b@c.org or (736) 555-2678.", "x", 31), (2, None, None, None), (3, "", "y", 0), (4, "nothing", "z", 7)], "doc_id long, text string, spans string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(docs).collect()}

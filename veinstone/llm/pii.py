@@ -73,7 +73,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # The field.
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot|\.)[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[]\s?(?i:at|@|dot|\.)\s?[)\]]")
+_LAST_MARK = re.compile(r"[(\[]\s?(?i:at|@|dot|\.)\s?[)\]]\Z")
 _CHUNK = re.compile(r"\S+")
 _MARK = re.compile(r"(?i)\s?[\[(]\s?(?:at|@)\s?[\])]\s?")
 _DOT = re.compile(r"(?i)\s?[\[(]\s?(?:dot|\.)\s?[\])]\s?")
@@ -128,15 +129,19 @@ def lattice(text: str, chunks: list[tuple[int, int]], before: str) -> dict[tuple
 
 
 def hot_chunks(text: str):
-    """(start, end) of every run of non-space that holds a trigger, in time linear in the text."""
-    done = 0
+    """(start, end) of every run of non-space that holds a trigger, in time linear in the text; runs that share a trigger with a space inside are one."""
+    start = done = 0
     for m in _TRIGGER.finditer(text):
-        if m.start() < done:
+        if m.end() <= done:
             continue
-        start = m.start()
-        while start > done and not text[start - 1].isspace():
-            start -= 1
-        done = _CHUNK.match(text, start).end()
+        if m.start() >= done:
+            if done:
+                yield start, done
+            start = m.start()
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+        done = _CHUNK.match(text, m.end() - 1).end()
+    if done:
         yield start, done
 
 
@@ -297,6 +302,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
 
     for start, end in hot_chunks(text):
         chunk = text[start:end]
+        if pending and pending[-1][1] > start:
+            pending.pop()  # taken as what follows a mark, but it goes on
         while k < len(taken) and taken[k][1] <= start:
             k += 1
         if k < len(taken) and taken[k][0] < end:
@@ -310,7 +317,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         if not pending and chunk[0] in "([" and (left := re.search(r"(\S+)\s$", text[max(0, start - 40) : start])):
             pending.append((start - len(left.group()), start - len(left.group()) + len(left.group(1))))
         pending.append((start, end))
-        after = _CHUNK.match(text, end + 1) if chunk in ("[dot]", "(dot)", "[at]", "(at)", "[.]") else None
+        after = _CHUNK.match(text, end + 1) if chunk[-1] in ")]" and _LAST_MARK.search(chunk[-8:]) else None
         if after and not _TRIGGER.search(after.group()):
             pending.append(after.span())
         if len(pending) >= 4096:
