@@ -175,6 +175,22 @@ def test_spelled_addresses(at, dot):
             assert ("email", 13, 13 + len(mail)) in pii.all_spans(text, pii.trained())[1], text
 
 
+def test_pieces_of_long_stretches(monkeypatch):
+    """What lies across the end of a piece is found, and the pieces' length changes nothing."""
+    field = pii.trained()
+    for n in range(4090, 4097):
+        text = "12 " * n + "call (212) 555-0199 now"
+        assert ("phone", 3 * n + 5, 3 * n + 19) in pii.all_spans(text, field)[1], n
+    rng = random.Random(12)
+    made = [lambda: str(rng.randint(1, 99)), lambda: "(212) 555-0199", lambda: "736-555-2678", lambda: "a.7 [AT] b ( dot ) com", lambda: "1[.]2[.]3[.]4", lambda: "call", lambda: "4539.5787.6362.1486", lambda: "2019-03-12", lambda: "12 345 678 90 12", lambda: "555 555 0123"]
+    texts = [" ".join(rng.choice(made)() for _ in range(200)) for _ in range(15)]
+    whole = [pii.all_spans(t, field) for t in texts]
+    assert sum(len(spans) for _, spans in whole) > 200
+    for piece in (1, 9, 16, 37):
+        monkeypatch.setattr(pii, "PIECE", piece)
+        assert [pii.all_spans(t, field) for t in texts] == whole
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "to a.b@c.org or (736) 555-2678.", "x", 31), (2, None, None, None), (3, "", "y", 0), (4, "nothing", "z", 7)], "doc_id long, text string, spans string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(docs).collect()}

@@ -30,6 +30,8 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_CHUNKS = 8
+#: Chunks that are decoded at once, for bounded memory; the result doesn't depend on it.
+PIECE = 4096
 TRAINING_SENTENCES, EPOCHS, SEED = 360, 8, 2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -159,10 +161,14 @@ class Field:
     def scores(self, segments: dict) -> dict[tuple[int, int], np.ndarray]:
         return {k: self.weights[self.rows(v[2])].sum(axis=0) for k, v in segments.items()}
 
-    def decode(self, n: int, scores: dict) -> list[tuple[int, int, int]]:
-        """The best labelling: (first chunk, chunk after the last, kind) of its segments."""
+    def decode(self, n: int, scores: dict, first: np.ndarray | None = None, ends: bool = True) -> tuple[list[tuple[int, int, int]], int, np.ndarray]:
+        """The best labelling: (first chunk, chunk after the last, kind) of its segments, how many chunks it settles, and the scores to go on from.
+
+        ``first`` has the scores by label of what came before. If more is to come (not ``ends``), settled is only what all
+        the best labellings share that could still be gone on from.
+        """
         best = np.full((n + 1, len(KINDS) + 1), -np.inf)
-        best[0, 0] = 0
+        best[0] = [0.0] + [-np.inf] * len(KINDS) if first is None else first
         back: dict[tuple[int, int], tuple[int, int]] = {}
         for j in range(1, n + 1):
             for i in range(max(0, j - MOST_CHUNKS), j):
@@ -177,13 +183,20 @@ class Field:
                     total = come[x, y] + (s[y - 1] if y else 0)
                     if total > best[j, y]:
                         best[j, y], back[j, y] = total, (i, x)
-        out, j, y = [], n, int(best[n].argmax())
+        open_ends = {(n, int(best[n].argmax()))} if ends else {(j, int(y)) for j in range(max(0, n - MOST_CHUNKS + 1), n + 1) for y in np.flatnonzero(best[j] > -np.inf)}
+        while len(open_ends) > 1:  # the last goes back until all have met, at the start if not before
+            last = max(open_ends)
+            open_ends.remove(last)
+            open_ends.add(back[last])
+        settled, label = j, y = open_ends.pop()
+        going_on = np.where(np.arange(len(KINDS) + 1) == label, best[settled], -np.inf)
+        out = []
         while j:
             i, x = back[j, y]
             if y:
                 out.append((i, j, y - 1))
             j, y = i, x
-        return out[::-1]
+        return out[::-1], settled, going_on
 
     def step(self, n: int, segments: dict, gold: dict[tuple[int, int], int], rate: float) -> None:
         """One step up the likelihood of the gold segments."""
@@ -289,16 +302,25 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
     out: list[tuple[str, int, int]] = []
     taken = sorted((s, e) for _, s, e in base)
     pending: list[tuple[int, int]] = []
-    k = 0
+    k, first, previous, limit = 0, None, None, PIECE
 
-    def settle() -> None:
+    def settle(ends: bool = True) -> None:
+        """Decodes what is pending; if it goes on, what is not settled stays."""
+        nonlocal first, previous, limit
         if not pending:
             return
-        before = text[max(0, pending[0][0] - 24) : pending[0][0]].split()
-        segments = lattice(text, pending, before[-1] if before else "")
-        if segments:
-            out.extend((KINDS[y], *segments[i, j][:2]) for i, j, y in field.decode(len(pending), field.scores(segments)))
-        pending.clear()
+        if previous is None:
+            previous = (text[max(0, pending[0][0] - 24) : pending[0][0]].split() or [""])[-1]
+        segments, settled = lattice(text, pending, previous), len(pending)
+        if segments or not ends:
+            found, settled, first = field.decode(len(pending), field.scores(segments), first, ends)
+            out.extend((KINDS[y], *segments[i, j][:2]) for i, j, y in found)
+        if ends:
+            first, previous, limit = None, None, PIECE
+        else:
+            previous = text[slice(*pending[settled - 1])] if settled else previous
+            limit = max(PIECE, 2 * (len(pending) - settled))
+        del pending[:settled]
 
     for start, end in hot_chunks(text):
         chunk = text[start:end]
@@ -317,11 +339,11 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
         if not pending and chunk[0] in "([" and (left := re.search(r"(\S+)\s$", text[max(0, start - 40) : start])):
             pending.append((start - len(left.group()), start - len(left.group()) + len(left.group(1))))
         pending.append((start, end))
+        if len(pending) >= limit:
+            settle(ends=False)
         after = _CHUNK.match(text, end + 1) if chunk[-1] in ")]" and _LAST_MARK.search(chunk[-8:]) else None
         if after and not _TRIGGER.search(after.group()):
             pending.append(after.span())
-        if len(pending) >= 4096:
-            settle()
     settle()
     return [x for x in out if not any(s < x[2] and x[1] < e for s, e in taken)] if out else out
 
