@@ -2,6 +2,7 @@
 
 import csv
 import os
+import re
 from pathlib import Path
 
 import pandas as pd
@@ -136,3 +137,20 @@ def test_golden_corpus(spark):
         for m in ("recall_at_5", "recall_at_10", "mrr"):
             assert getattr(r, m) == pytest.approx(float(want[r.query_id][m]), abs=1e-6)
     assert benchmark.checklist(gold, tables["change_records"], tables["evidence_links"], chunks).count() > 3
+
+
+def test_owning_chunk_of_every_line(spark):
+    """Each line of each document has a row, with the chunk of the reference's rule by brute force."""
+    from veinstone.plans.queries import owning_chunk_lines
+
+    folder, want = "/root/testdata/sf0.001", {}
+    for doc, text in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        space = "[\\s\\x1c-\\x1f\\x85\\xa0]"
+        lines = [x for x in (re.sub(f"(?a:^{space}+|{space}+$)", "", y) for y in (text or "").split("\n")) if x]
+        chunks = [" ".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+        for k, line in enumerate(lines):
+            equal = [i for i, c in enumerate(chunks) if c == line]
+            near = [i for i, c in enumerate(chunks) if line in c or c in line]
+            want[doc, k] = f"{doc}_{(equal or near)[0]}"
+    rows = owning_chunk_lines(spark, folder).collect()
+    assert len(rows) == len(want) > 1000 and {(r.doc_id, r.claim_idx): r.chunk_id for r in rows} == want

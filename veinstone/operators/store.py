@@ -58,7 +58,7 @@ def candidates(claims: DataFrame, changes: DataFrame) -> DataFrame:
 def owning_chunks(claims: DataFrame, chunks: DataFrame) -> DataFrame:
     """(evidence_id, claim_idx, chunk_id): a claim's chunk in its document, equal text before containment, then the first."""
     c = chunks.select("source_document_id", "chunk_id", "ord", "text")
-    at = Window.partitionBy("evidence_id").orderBy("step", "ord")
+    at = Window.partitionBy("evidence_id", "claim_idx").orderBy("step", "ord")
     equal = F.btrim("text") == F.btrim("raw_text")
     near = F.contains(F.col("text"), F.col("raw_text")) | F.contains(F.col("raw_text"), F.col("text"))
     met = claims.join(c, "source_document_id").withColumn("step", F.when(equal, 0).when(near, 1)).filter("step is not null")

@@ -221,12 +221,22 @@ def repeated_keys(spark, d):
     return store.repeated_keys(table(spark, d, "orders"), ["o_custkey"])
 
 
+def _groups_of_five(docs):
+    return docs.select(F.col("item_id").alias("source_document_id"), F.posexplode(text.line_groups(F.col("text"), 5)).alias("ord", "text")).withColumn("chunk_id", F.concat_ws("_", "source_document_id", "ord"))
+
+
 def owning_chunk(spark, d):
-    """Sentences of documents found again in the documents' groups of five lines."""
+    """The seventh line of each document that has one, as its SQL has it, found again in the document's groups of five lines; ``owning_chunk_lines`` takes every line."""
     docs = _docs(spark, d)
-    chunks = docs.select(F.col("item_id").alias("source_document_id"), F.posexplode(text.line_groups(F.col("text"), 5)).alias("ord", "text")).withColumn("chunk_id", F.concat_ws("_", "source_document_id", "ord"))
     found = docs.select(F.col("item_id").alias("source_document_id"), F.get(text.lines(F.col("text")), F.lit(6)).alias("raw_text")).filter("raw_text is not null").withColumns({"evidence_id": F.col("source_document_id"), "claim_idx": F.lit(0)})
-    return store.owning_chunks(found, chunks).select(F.col("evidence_id").alias("doc_id"), "chunk_id")
+    return store.owning_chunks(found, _groups_of_five(docs)).select(F.col("evidence_id").alias("doc_id"), "chunk_id")
+
+
+def owning_chunk_lines(spark, d):
+    """Every line of every document found again in the document's groups of five lines."""
+    docs = _docs(spark, d)
+    found = docs.select(F.col("item_id").alias("source_document_id"), F.posexplode(text.lines(F.col("text"))).alias("claim_idx", "raw_text")).withColumn("evidence_id", F.col("source_document_id"))
+    return store.owning_chunks(found, _groups_of_five(docs)).select(F.col("evidence_id").alias("doc_id"), F.col("claim_idx").cast("long"), "chunk_id")
 
 
 def link_labels(spark, d):
@@ -380,5 +390,5 @@ def stream_event_link(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{root}/links").groupBy("link_type", "review_status").agg(F.count("*").alias("n"))
 
 
-NAMES = "bm25_topk term_stats doc_stats fixed_line_chunks sentence_split paragraph_chunks content_ids source_documents symbol_normalize symbol_mentions version_mentions version_overlap change_type_classify extract_claims conjunction_claims replacement_claims section_bullet_chunks cannot_link_pairs pairwise_score link_evidence link_evidence_general blocking_candidates cannot_link_upsert store_integrity store_absent repeated_keys owning_chunk link_labels dense_topk sparse_filtered dense_filtered rrf_fuse rrf_weighted hybrid_topk hybrid_version_filtered rerank_stub prompt_render eval_metrics metrics_by_type aggregate_modes failure_quadrant resolve_items rank_trace stream_event_link".split()
+NAMES = "bm25_topk term_stats doc_stats fixed_line_chunks sentence_split paragraph_chunks content_ids source_documents symbol_normalize symbol_mentions version_mentions version_overlap change_type_classify extract_claims conjunction_claims replacement_claims section_bullet_chunks cannot_link_pairs pairwise_score link_evidence link_evidence_general blocking_candidates cannot_link_upsert store_integrity store_absent repeated_keys owning_chunk owning_chunk_lines link_labels dense_topk sparse_filtered dense_filtered rrf_fuse rrf_weighted hybrid_topk hybrid_version_filtered rerank_stub prompt_render eval_metrics metrics_by_type aggregate_modes failure_quadrant resolve_items rank_trace stream_event_link".split()
 QUERIES = {name: globals()[name] for name in NAMES}
