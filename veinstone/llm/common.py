@@ -20,19 +20,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; sets one only where the session names none (tests, one machine)."""
+    """The folder that all executors see. Sets one of its own only in a local session that names none; a cluster that names none is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="veinstone-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def remove(spark: SparkSession, place: str) -> None:
+    """Deletes a folder, wherever Spark has it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Sealed:
+    """A table under names of its own, so that no column of the caller's, whatever its name, meets one of an operator's.
+
+    ``df`` has the columns of ``names`` as ``in_0``, ``in_1`` and so on; ``of`` finds a column by its name: as written, else
+    in any case; null of type ``kind`` where it may be absent. ``opened`` gives the caller's columns back under their names
+    and in their order, with ``results`` in place of those named alike, and then the other results.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"in_{i}" for i in range(len(self.names))])
+
+    def place(self, name: str) -> int | None:
+        alike = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        return alike[0] if alike else None
+
+    def of(self, name: str, kind: str | None = None) -> Column:
+        at = self.place(name)
+        if at is not None:
+            return F.col(f"in_{at}")
+        if kind is None:
+            raise ValueError(f"no column {name}")
+        return F.lit(None).cast(kind)
+
+    def opened(self, df: DataFrame, results: dict[str, Column] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+        results = dict(results or {})
+        gone = {self.place(n) for n in without}
+        at = {self.place(n): n for n in results}
+        own = [(results.pop(at[i]) if i in at else F.col(f"in_{i}")).alias(n) for i, n in enumerate(self.names) if i not in gone]
+        return df.select(*own, *[v.alias(n) for n, v in results.items()])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: later stages survive lost executors without recomputing all before."""
     shared_folder(df.sparkSession)

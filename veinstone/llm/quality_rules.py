@@ -4,12 +4,16 @@ Every line is judged by itself: punctuation, navigation, symbol, shouting and bo
 removed and a document that loses more than ``max_lost`` of its characters that way is rejected, as is one that fails
 the base limits (under ``min_words`` words, or over ``max_repeat_pct`` % of its words inside repeated 5-word windows).
 
+Two rules look at short lines only, and their lengths are parameters: a phrase of ``BOILERPLATE`` condemns a line of up to
+``boilerplate_chars`` characters (in a long paragraph it is a mention and not a footer), and a line of up to
+``fragment_chars`` characters fails without terminal punctuation (a longer one may be a wrapped sentence).
+
 Everything is computed within the row that holds the text, so there is no shuffle and no group: cost is
-O(n log n) in a text's own length, and copies or hot sources do not matter.
+O(n log n) in a text's own length, and copies or hot sources do not matter. Each line is judged once.
 
 Defined results: a null or empty text has no words, fails the base limits and is rejected. Repeated rows are judged
-alike, one result each. Other columns pass through untouched; a column of the input that has the name of a result is
-replaced by the result. An empty table gives an empty result.
+alike, one result each. Other columns pass through untouched under any name; a column of the input that has the name of a
+result is replaced by the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, strip, table, words
+from .common import SPACES, Sealed, let, strip, table, words
 
 #: A doc loses a line with these in it, if the line is short.
 BOILERPLATE = "(?i)(licensed? under|all rights reserved|copyright|apache license|creative commons|cookie|privacy policy|terms of (use|service)|subscribe|newsletter|click here|read more|sign (in|up)|log in|javascript)"
 SYMBOLS = "#*$%&|<>"
 TERMINAL = r'[.!?:;…。"”»)\]]$'
 WINDOW = 5
+BOILERPLATE_CHARS, FRAGMENT_CHARS = 160, 16
 
 
 def _characters(text: Column) -> Column:
@@ -46,43 +51,44 @@ def _covered(g: Column) -> Column:
     return let(placed, lambda s: let(starts(s), lambda p: F.aggregate(step(p), F.lit(0), lambda a, x: a + x)))
 
 
-def line_fails(line: Column, symbols: Column) -> Column:
-    """Whether a line fails; blank lines do not. ``symbols``: how many SYMBOLS the whole text has (without any, no line is tested for them)."""
-
-    def judged(s: Column) -> Column:
-        size = F.length(s)
-        navigation = lambda n: (n >= 2) & (n * 30 > size)
-        noisy = (symbols > 0) & let(_characters(s), lambda n: (n * 20 > size) | navigation(F.length(F.regexp_replace(s, "[^|]+", ""))))
-        shouting = (size >= 12) & (F.upper(s) == s) & (F.lower(s) != s)
-        boilerplate = (size <= 160) & F.rlike(s, F.lit(BOILERPLATE))
-        unfinished = (size <= 16) & ~F.rlike(s, F.lit(TERMINAL))
-        return (size > 0) & (noisy | shouting | boilerplate | unfinished)
-
-    return let(strip(line), judged)
+def line_fails(line: Column, symbols: Column, boilerplate_chars: int = BOILERPLATE_CHARS, fragment_chars: int = FRAGMENT_CHARS) -> Column:
+    """Whether a stripped line fails; a blank one does not. ``symbols``: how many SYMBOLS the whole text has (without any, no line is tested for them)."""
+    size = F.length(line)
+    navigation = lambda n: (n >= 2) & (n * 30 > size)
+    noisy = (symbols > 0) & let(_characters(line), lambda n: (n * 20 > size) | navigation(F.length(F.regexp_replace(line, "[^|]+", ""))))
+    shouting = (size >= 12) & (F.upper(line) == line) & (F.lower(line) != line)
+    boilerplate = (size <= boilerplate_chars) & F.rlike(line, F.lit(BOILERPLATE))
+    unfinished = (size <= fragment_chars) & ~F.rlike(line, F.lit(TERMINAL))
+    return (size > 0) & (noisy | shouting | boilerplate | unfinished)
 
 
-def apply_rules(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20, max_lost_pct: int = 60) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_pct: int = 20, max_lost_pct: int = 60, boilerplate_chars: int = BOILERPLATE_CHARS, fragment_chars: int = FRAGMENT_CHARS) -> DataFrame:
     """``docs`` with the base measures, ``lost_chars``, ``cleaned`` (text without failing lines), ``base_failed``, ``kept``."""
     # Each step's columns are used more than once by the next, so the optimiser keeps the steps apart.
-    whole = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumns({"_w": words(F.col(text)), "_lines": F.split(whole, "\n", -1), "_marks": _characters(whole)})
-    two = one.withColumns({"_g": _windows(F.col("_w")), "_inked": F.filter("_lines", lambda x: strip(x) != ""), "_failing": let(F.col("_marks"), lambda n: F.filter("_lines", lambda x: line_fails(x, n)))})
-    repeats = F.when(F.size(F.array_distinct("_g")) == F.size("_g"), F.lit(0)).otherwise(_covered(F.col("_g")))
-    left = let(F.col("_marks"), lambda n: F.filter("_lines", lambda x: ~line_fails(x, n)))
-    out = two.withColumns(
+    sealed = Sealed(docs)
+    source, judge = sealed.of(text), lambda s, n: line_fails(s, n, boilerplate_chars, fragment_chars)
+    whole = F.coalesce(source, F.lit(""))
+    one = sealed.df.withColumns({"w": words(source), "marks": _characters(whole)})
+    judged = lambda x, n: let(strip(x), lambda s: F.struct(x.alias("line"), judge(s, n).alias("fails"), (s != "").alias("inked")))
+    two = one.withColumns({"g": _windows(F.col("w")), "lines": let(F.col("marks"), lambda n: F.transform(F.split(whole, "\n", -1), lambda x: judged(x, n)))})
+    line = lambda x: x["line"]
+    three = two.withColumns({"inked": F.transform(F.filter("lines", lambda x: x["inked"]), line), "failing": F.transform(F.filter("lines", lambda x: x["fails"]), line), "left": F.transform(F.filter("lines", lambda x: ~x["fails"]), line)})
+    repeats = F.when(F.size(F.array_distinct("g")) == F.size("g"), F.lit(0)).otherwise(_covered(F.col("g")))
+    out = three.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.col("_marks").cast("long"),
-            "n_dup_lines": (F.size("_inked") - F.size(F.array_distinct("_inked"))).cast("long"),
+            "n_words": F.size("w").cast("long"),
+            "word_chars": F.length(F.array_join("w", "")).cast("long"),
+            "n_symbols": F.col("marks").cast("long"),
+            "n_dup_lines": (F.size("inked") - F.size(F.array_distinct("inked"))).cast("long"),
             "n_repeat_words": repeats.cast("long"),
-            "lost_chars": F.length(F.array_join("_failing", "")).cast("long"),
-            "cleaned": F.when(F.size("_failing") == 0, whole).otherwise(F.array_join(left, "\n")),
+            "lost_chars": F.length(F.array_join("failing", "")).cast("long"),
+            "cleaned": F.when(F.size("failing") == 0, whole).otherwise(F.array_join("left", "\n")),
         }
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
     verdict = ~failed & (F.col("lost_chars") * 100 <= F.length(whole) * max_lost_pct)
-    return out.withColumns({"base_failed": failed, "kept": verdict}).drop("_w", "_lines", "_marks", "_g", "_inked", "_failing")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "cleaned")
+    return sealed.opened(out, {**{n: F.col(n) for n in names}, "base_failed": failed, "kept": verdict})
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
