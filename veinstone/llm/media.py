@@ -1,10 +1,10 @@
 """Media columns: bytes as WAV sound, and its fingerprint of spectral-peak pairs.
 
-A payload is stored as 8-bit mono samples by the wave module and read back by it. The samples go through a short-time
-Fourier transform (Hann window of ``WINDOW``, hop ``HOP``, in blocks, so that long sounds need bounded memory). Each
-frame's strongest bin, if it is also stronger than in both neighbouring frames, is a peak; every peak is paired with the
-next ``FAN`` peaks, and a pair's code holds both frequencies and the time between. The fingerprint is the array of
-(time, code) as one integer each, in time order.
+A payload is stored as 8-bit mono samples by the wave module and read back by it. The samples, followed by silence up to a
+whole number of hops, go through a short-time Fourier transform (Hann window of ``WINDOW``, hop ``HOP``, in blocks, so
+that long sounds need bounded memory). The up to ``PEAKS`` strongest local maxima of each frame are its peaks, and every
+peak (the anchor) is paired with the next ``FAN`` peaks (the targets): a pair's code holds both frequencies and the time
+between. The fingerprint is the array of (time, code) as one integer each, in time order, and a column of the result.
 
 Rows are treated one by one in the scan (no shuffle). Defined results: a null or empty text is a payload of 64 zero
 bytes; a text whose length is a multiple of 64 is not padded further. Repeated rows give equal values. Other columns are
@@ -28,7 +28,10 @@ from .common import table
 
 UNIT = 64
 RATE = 8000
-WINDOW, HOP, FAN = 256, 128, 3
+SILENCE = 128
+WINDOW, HOP = 256, 128
+#: Peaks of a frame, targets of an anchor, the most frames between them (8 bits), the lowest bin that is looked at, and the least energy of a peak against its frame's strongest.
+PEAKS, FAN, MOST_BETWEEN, LEAST_BIN, LEAST_SHARE = 2, 3, 255, 2, 1 / 16
 BLOCK_FRAMES = 4096
 
 
@@ -57,28 +60,42 @@ def _hann() -> np.ndarray:
     return np.hanning(WINDOW).astype(np.float32)
 
 
-def fingerprint(samples: bytes) -> np.ndarray:
-    """int64 array of time << 32 | low frequency << 20 | high frequency << 8 | frames between."""
+def spectra(samples: bytes):
+    """Blocks of (first frame, energies by frame and bin). The samples are followed by silence up to whole hops, so that every one is in a window."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.full(WINDOW - len(x), 128, np.uint8)])
-    frames = 1 + (len(x) - WINDOW) // HOP
-    bins, power = np.empty(frames, np.int64), np.empty(frames, np.float32)
+    frames = 1 + max(0, -(-(len(x) - WINDOW) // HOP))
+    x = np.concatenate([x, np.full((frames - 1) * HOP + WINDOW - len(x), SILENCE, np.uint8)])
     for start in range(0, frames, BLOCK_FRAMES):
         n = min(BLOCK_FRAMES, frames - start)
         view = np.lib.stride_tricks.sliding_window_view(x[start * HOP : (start + n - 1) * HOP + WINDOW], WINDOW)[::HOP]
-        spectrum = np.fft.rfft((view.astype(np.float32) - 128) * _hann())[:, 2:]
-        energy = spectrum.real**2 + spectrum.imag**2
-        best = energy.argmax(axis=1)
-        bins[start : start + n], power[start : start + n] = best + 2, energy[np.arange(n), best]
-    rises = np.concatenate([[True], power[1:] >= power[:-1]])
-    at = np.flatnonzero(rises & np.concatenate([power[:-1] >= power[1:], [True]]))
-    codes = []
+        spectrum = np.fft.rfft((view.astype(np.float32) - SILENCE) * _hann())
+        yield start, (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+
+
+def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, bin) of the up to ``PEAKS`` strongest local maxima of each frame, from bin ``LEAST_BIN`` on, in order of frame and bin."""
+    at, bins = [], []
+    for start, energy in spectra(samples):
+        inner = energy[:, LEAST_BIN:-1]
+        top = (inner > energy[:, LEAST_BIN - 1 : -2]) & (inner >= energy[:, LEAST_BIN + 1 :])
+        strength = np.where(top, inner, np.float32(0))
+        strength[strength < strength.max(axis=1, keepdims=True) * LEAST_SHARE] = 0
+        best = np.sort(np.argpartition(-strength, PEAKS - 1, axis=1)[:, :PEAKS], axis=1)
+        frame, k = np.nonzero(np.take_along_axis(strength, best, axis=1) > 0)
+        at.append(frame + start)
+        bins.append(best[frame, k] + LEAST_BIN)
+    return np.concatenate(at).astype(np.int64), np.concatenate(bins).astype(np.int64)
+
+
+def fingerprint(samples: bytes) -> np.ndarray:
+    """int64 array of time << 32 | anchor bin << 20 | target bin << 8 | frames between, in order; a lone peak has no pairs."""
+    at, bins = peaks(samples)
+    codes = [np.empty(0, np.int64)]
     for step in range(1, FAN + 1):
-        a, b = at[:-step], at[step:]
-        between = np.minimum(b - a, 255)
-        codes.append(a << 32 | bins[a] << 20 | bins[b] << 8 | between)
-    return np.sort(np.concatenate(codes)) if len(at) > 1 else at << 32 | bins[at] << 20
+        between = at[step:] - at[:-step]
+        near = between <= MOST_BETWEEN
+        codes.append((at[:-step] << 32 | bins[:-step] << 20 | bins[step:] << 8 | between)[near])
+    return np.sort(np.concatenate(codes))
 
 
 def features(text: bytes | None) -> tuple:
@@ -109,11 +126,11 @@ def _made(with_codes: bool, with_media: bool):
 
 
 def media_columns(docs: DataFrame, with_codes: bool = True, with_media: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text) -> sizes, digests, a short form of the fingerprint, and the fingerprint and WAV if asked for."""
+    """``docs`` (doc_id, text) -> sizes, digests, a short form of the fingerprint, and the fingerprint and the stored WAV if asked for."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += ", fingerprint array<long>" * with_codes + ", media binary" * with_media
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_made(with_codes, with_media), schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_codes=False, with_media=False)
+    return media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False)
