@@ -10,7 +10,8 @@ of labelled rows, ``SAMPLE_ROWS`` by seeded hash of doc_id; scoring covers all r
 weights sent to the executors (``2 ** BITS`` floats, a fixed size).
 
 Defined results: a null or empty text has no words and gets the score of its shape alone. Labels that are null, or of
-documents that aren't there, take no part. Without labels, or with one grade only, every text gets that grade (or the
+documents that aren't there, take no part; of conflicting labels of a doc_id the lowest grade counts, of its texts the one
+with the smallest hash. A null doc_id is scored and never rated. Without labels, or with one grade only, every text gets that grade (or the
 best grade) with probability 1. Repeated rows are scored alike. Other columns are ignored. An empty table gives an
 empty result.
 """
@@ -75,6 +76,18 @@ class Model:
         return np.diff(edges, axis=1)
 
 
+def loss(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades, and its slopes by score and by threshold."""
+    n = len(grades)
+    low = np.where(grades == 0, -np.inf, thresholds[np.maximum(grades - 1, 0)]) - scores
+    high = np.where(grades == GRADES - 1, np.inf, thresholds[np.minimum(grades, GRADES - 2)]) - scores
+    a, b = np.where(np.isinf(low), 0.0, _logistic(low)), np.where(np.isinf(high), 1.0, _logistic(high))
+    inside = np.maximum(b - a, 1e-9)
+    slope_a, slope_b = a * (1 - a) / inside, b * (1 - b) / inside
+    by_cut = np.array([(np.where(grades == k + 1, slope_a, 0) - np.where(grades == k, slope_b, 0)).sum() for k in range(GRADES - 1)]) / n
+    return float(-np.log(inside).mean()), (slope_b - slope_a) / n, by_cut
+
+
 def fit(places: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, steps: int = STEPS, rate: float = RATE, l1: float = L1) -> Model:
     """The model of the rated texts: places of their words, their shapes and grades."""
     thresholds = np.arange(1, GRADES) * 2.0 - GRADES
@@ -90,15 +103,8 @@ def fit(places: list[np.ndarray], shapes: np.ndarray, grades: np.ndarray, steps:
     w, seen, seen_s, seen_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(SHAPE, 1e-8), np.full(GRADES - 1, 1e-8)
     n = len(places)
     for _ in range(steps):
-        scores = np.bincount(row, w[flat], minlength=n) + shapes @ shape_weights
-        low = np.where(grades == 0, -np.inf, thresholds[np.maximum(grades - 1, 0)]) - scores
-        high = np.where(grades == GRADES - 1, np.inf, thresholds[np.minimum(grades, GRADES - 2)]) - scores
-        a, b = np.where(np.isinf(low), 0.0, _logistic(low)), np.where(np.isinf(high), 1.0, _logistic(high))
-        inside = np.maximum(b - a, 1e-9)
-        slope_a, slope_b = a * (1 - a) / inside, b * (1 - b) / inside
-        by_score = (slope_b - slope_a) / n
+        _, by_score, by_cut = loss(np.bincount(row, w[flat], minlength=n) + shapes @ shape_weights, thresholds, grades)
         by_word, by_shape = np.bincount(flat, by_score[row], minlength=len(used)), shapes.T @ by_score
-        by_cut = np.array([(np.where(grades == k + 1, slope_a, 0) - np.where(grades == k, slope_b, 0)).sum() for k in range(GRADES - 1)]) / n
         seen += by_word**2
         seen_s += by_shape**2
         seen_t += by_cut**2
@@ -118,10 +124,22 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["doc_id", "grade", "places", "shape"])
 
 
+def sample(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 6) -> DataFrame:
+    """(doc_id, text, grade) of up to ``sample_rows`` of the rated (doc_id, grade) that are in ``docs`` (doc_id, text), one row for a doc_id.
+
+    Of conflicting grades of a doc_id the lowest counts, of different texts the one with the smallest hash, so reruns agree.
+    """
+    chosen = rated.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
+    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
+    # At most sample_rows rows; repeated rows are cut to one each before the shuffle.
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade")
+    return rows.agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("m")).select("doc_id", F.col("m.t").alias("text"), "grade")
+
+
 def trained(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 6) -> Model:
-    """The model of up to ``sample_rows`` of the rated (doc_id, grade) whose texts are in ``docs`` (doc_id, text)."""
-    chosen = rated.filter("doc_id is not null and grade is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(_sampled, "doc_id long, grade int, places array<int>, shape array<double>").toArrow().sort_by("doc_id")
+    """The model of the sample; ``sample_rows`` bounds what reaches the driver."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = sample(docs, rated, sample_rows, seed).mapInArrow(_sampled, "doc_id long, grade int, places array<int>, shape array<double>").toArrow().sort_by("doc_id")
     places = [np.asarray(x.values, np.int64) for x in rows["places"]]
     shapes = np.array(rows["shape"].to_pylist(), np.float64).reshape(-1, SHAPE)
     return fit(places, shapes, rows["grade"].to_numpy())
