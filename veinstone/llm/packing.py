@@ -1,17 +1,17 @@
 """Packing documents into fixed sequences: first-fit decreasing over a tournament tree of bin capacities.
 
 Each text is tokenised once, end id 1 is appended, and the ids are cut into whole sequences and one shorter rest. Only
-a narrow row for each piece (place, length, checksum) leaves the scan: no ids are shuffled. Pieces are dealt to
+a narrow row for each piece (place, length, checksum) leaves the scan: no ids are shuffled. Documents are dealt to
 randomised groups by a seeded hash, and each group is packed by itself: pieces from long to short, each into the first
 bin that still holds it, which the tournament tree finds in O(log bins).
 
-Groups hold about ``GROUP_DOCS`` documents at any corpus size, so tasks stay equal; their number follows the row count,
-which Parquet footers give. Rows that repeat one doc_id within an input split are told apart by a running number in the
-hash, so even a doc_id with a third of all rows is spread. Recomputed partitions give the same rows, as all is seeded.
+Groups hold about ``GROUP_DOCS`` documents, or ``GROUP_PIECES`` pieces if that is less, at any corpus size, so tasks stay equal. Rows that are equal in doc_id and text are counted before the shuffle and dealt in runs of up to ``RUN``, each to
+a group of its own, so even a row with a third of all repeats is spread. Reruns agree, whatever the partitions, as the hash is
+of contents alone.
 
 Defined results: a null text is empty, so it is one piece with the end id alone. Repeated rows are packed each for itself.
-A null doc_id stays null. Other columns are ignored. An empty table gives an empty result. Texts in which the
-vocabulary's special string occurs, or that the fast encoder refuses, are encoded by the reference encoder whole.
+A null doc_id stays null. Other columns, under any name, are ignored. An empty table gives an empty result. Texts in which
+the vocabulary's special string occurs, or that the fast encoder refuses, are encoded by the reference encoder whole.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Sealed, cut, table
 
 LENGTH = 2048
 END_ID = 1
-GROUP_DOCS = 4000
-BINS_PER_GROUP = 1 << 40
+#: A group's documents, and its pieces where documents have many.
+GROUP_DOCS, GROUP_PIECES = 4000, 16_000
+RUN = 64
+BINS_PER_GROUP = 1 << 24
 #: Fixed names of public vocabulary files.
 VOCABULARY, RANKS, SPECIAL = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "<|endoftext|>"
 
@@ -93,43 +95,52 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.
     return bins, offsets
 
 
-def _tokenised(groups: int, seed: int, length: int):
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_key"]
+
+
+def _tokenised(seed: int, length: int):
     def run(batches):
         encode = Encoder()
-        repeats: dict = {}
         for batch in batches:
             out: list[tuple] = []
             made: dict[str, list] = {}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if text not in made:
-                    made[text] = pieces_of([*encode(text), END_ID], length)
-                repeats[doc] = again = repeats.get(doc, -1) + 1
-                total = made[text][-1][0] + made[text][-1][1]
-                out += [(doc, start, n, crc, total, xxhash.xxh3_64_intdigest(f"{doc}:{start}:{again}".encode(), seed=seed) % groups) for start, n, crc in made[text]]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pack_group"]
-            columns = list(zip(*out, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                    made[text] = pieces_of([*encode(text), END_ID], length), xxhash.xxh3_64_intdigest(text.encode(), seed=seed)
+                pieces, digest = made[text]
+                total = pieces[-1][0] + pieces[-1][1]
+                key = xxhash.xxh3_64_intdigest(f"{doc}:{digest}".encode(), seed=seed) - (1 << 63)
+                out += [(doc, start, n, crc, total, key) for start, n, crc in pieces]
+            columns = list(zip(*out, strict=True)) or [[]] * len(_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
 
     return run
 
 
 def _packed(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        group = group.iloc[np.repeat(np.arange(len(group)), group["copies"])]
+        group = group.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_key"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), length)
-        return group.assign(sequence_id=group["pack_group"] * BINS_PER_GROUP + bins, offset=offsets).drop(columns="pack_group")
+        if len(bins) and bins.max() >= BINS_PER_GROUP:
+            raise ValueError(f"over {BINS_PER_GROUP} sequences in a group")
+        return group.assign(sequence_id=group["pack_group"] * BINS_PER_GROUP + bins, offset=offsets)[[*_NAMES[:-1], "sequence_id", "offset"]]
 
     return run
 
 
-def pack(docs: DataFrame, length: int = LENGTH, seed: int = 5, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, seed: int = 5, group_docs: int = GROUP_DOCS, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    groups = max(1, -(-docs.count() // group_docs))
-    pieces = docs.mapInArrow(_tokenised(groups, seed, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long")
-    pieces = cut(pieces)
-    return pieces.groupBy("pack_group").applyInPandas(_packed(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    sealed = Sealed(docs)
+    docs = sealed.df.select(sealed.of("doc_id").cast("long").alias("doc_id"), sealed.of("text").alias("text"))
+    pieces = docs.mapInArrow(_tokenised(seed, length), ", ".join(f"{n} long" for n in _NAMES))
+    equal = cut(pieces.groupBy(*_NAMES).agg(F.count("*").alias("n")))
+    total, whole = equal.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("start") == 0, F.col("n"))), F.lit(0))).head()
+    groups = max(1, -(-whole // group_docs), -(-total // group_pieces))
+    runs = equal.select(*_NAMES, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run"))
+    dealt = runs.select(*_NAMES, F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("run") * RUN).alias("copies"), F.pmod(F.xxhash64(F.lit(seed), "doc_key", "run"), F.lit(groups)).alias("pack_group"))
+    return dealt.groupBy("pack_group").applyInPandas(_packed(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
