@@ -5,25 +5,27 @@ in [0, n): a balanced Feistel network over the smallest even number of bits that
 outside. Position p is slot p // shards of shard p % shards, so any row's place, or any place's row, can be computed from
 the seed and n alone, and the shards' counts are at most one apart.
 
-The numbering is a range partitioning of narrow rows (no texts move) and one count per partition on the driver. The
-sort key includes the checksum, so a doc_id with a third of all rows is split unless its rows are equal in all keys;
-for those the order is arbitrary and the partition is one run of fixed-width rows.
+The numbering is a range partitioning of narrow rows (no texts move) and one count per partition on the driver. Rows that
+are equal in all keys are counted before the shuffle and numbered together, so neither a doc_id nor a row with a third of
+all repeats is more than one narrow row there; many copies are dealt to tasks in runs of ``RUN`` before they are rows again.
 
 Defined results: a null text is empty: size 1, checksum 0. Repeated rows have places of their own. A null doc_id
-sorts first. Other columns are ignored. An empty table gives an empty result.
+sorts first. Other columns, under any name, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, table
+from .common import Sealed, cut, mix64, table
 
 SHARDS = 8
 ROUNDS = 6
+RUN = 10_000
 
 
 def _half_bits(n: int) -> int:
@@ -65,31 +67,44 @@ def row_at(position: int, n: int, seed: int = 9) -> int:
             return position
 
 
-def numbered(narrow: DataFrame, keys: list[str], name: str = "row_number") -> DataFrame:
-    """``narrow`` with row numbers from 0 in the order of ``keys``."""
-    runs = cut(narrow.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    runs = runs.withColumn("_id", F.monotonically_increasing_id())
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = runs.groupBy(part.alias("p")).count().collect()  # one row for each partition
-    before, total = {}, 0
-    for p, c in sorted((r["p"], r["count"]) for r in counts):
-        before[p], total = total, total + c
-    starts = [before.get(p, 0) for p in range(max(before, default=0) + 1)]
-    start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), part.cast("int")) if len(starts) <= 256 else F.element_at(_lookup(starts), part.cast("string"))
-    return runs.withColumn(name, start + place).drop("_id")
-
-
-def _lookup(starts: list[int]):
-    """Many offsets as one parsed literal instead of as many expressions."""
-    return F.from_json(F.lit("{" + ",".join(f'"{p}":{s}' for p, s in enumerate(starts)) + "}"), "map<string,bigint>")
+def _running(batches):
+    """Copies before each row of a partition."""
+    before = 0
+    for batch in batches:
+        n = np.asarray(batch.column(batch.num_columns - 1))
+        ends = before + np.cumsum(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n, pa.int64())], [*batch.schema.names, "before"])
+        before = int(ends[-1]) if len(ends) else before
+
+
+def numbered(narrow: DataFrame, keys: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
+    """``narrow`` (of the ``keys`` alone) with row numbers from 0 in their order, and the number of rows."""
+    kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
+    equal = narrow.groupBy(*keys).agg(F.count("*").alias("n"))
+    runs = equal.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_running, f"{kinds}, n long, before long")
+    runs = cut(runs.withColumn("part", F.spark_partition_id()))
+    counts = runs.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row for each partition
+    starts, total = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in counts):
+        starts.append((part, total))
+        total += n
+    offsets = narrow.sparkSession.createDataFrame(starts, "part int, start long")
+    placed = runs.join(F.broadcast(offsets), "part").withColumn("first", F.col("start") + F.col("before"))
+    each = lambda df: df.select(*keys, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias(name))
+    few, many = placed.filter(F.col("n") <= RUN), placed.filter(F.col("n") > RUN)
+    if not many.limit(1).count():
+        return each(few), total
+    split = many.select(*keys, "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run"))
+    split = split.select(*keys, (F.col("first") + F.col("run") * RUN).alias("first"), F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("run") * RUN).alias("n"))
+    return each(few).unionByName(each(split.repartition("first"))), total
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 9) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, size, text_crc32, row_number, shard, slot."""
-    narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = numbered(narrow, ["doc_id", "text_crc32", "size"])
-    n = rows.agg(F.max("row_number")).head()[0]
-    n = 0 if n is None else n + 1
+    sealed = Sealed(docs)
+    text = sealed.of("text")
+    narrow = sealed.df.select(sealed.of("doc_id").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    rows, n = numbered(narrow, ["doc_id", "text_crc32", "size"])
 
     @F.pandas_udf("long")
     def position(x: pd.Series) -> pd.Series:
