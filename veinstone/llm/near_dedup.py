@@ -13,14 +13,17 @@ probability (1 - 0.75**4)**32, about 5e-6. Every candidate pair counts only afte
 How it stays bounded: documents with equal sets are one node from the start (hash aggregate with map-side combine), so
 copies never pair up. In a bucket of a band each node is first paired with the bucket's smallest node only. Then only
 nodes that share a bucket but are not yet in one component are compared: in buckets of up to ``SMALL`` nodes as pairs, in
-larger ones block against block, where intersections are counted as matrices and only links that unite two components
-come out. So no link between components is lost, and rows grow with the members of buckets and not with their pairs.
-Nothing but counts reaches the driver.
-
-Defined results: null or blank texts have no shingles, n_shingles 0, and link with nothing. Repeated rows of one doc_id
-are one document: each row is returned. A row with null doc_id links with its equals only through them (component_id is
-the smallest non-null doc_id of its class, else null) and is kept where it has none. Columns other than doc_id and text
-are ignored here. An empty table gives an empty result.
+larger ones in blocks. There the nodes outside the bucket's largest component (the strangers) meet blocks of all nodes:
+a bucket of m nodes with s strangers makes about (m s / ``BLOCK_NODES``) * 2 rows and not m * m, intersections are
+counted as matrices, and only links that unite two components come out. So no link between components is lost. Nothing but
+counts reaches the driver.
+
+Defined results: null or blank texts have no shingles, n_shingles 0, and link with nothing. Repeated rows are returned
+each; equal texts, and texts under one doc_id, are told apart by doc_id and text alone. component_id is the smallest
+non-null doc_id of the component, null if it has none; a row is kept where its doc_id is that, or both are null.
+``deduplicated`` keeps one row of each component (the smallest doc_id, null last, then the smallest hash) and all rows
+without shingles. Columns other than doc_id and text, under any name, are ignored by the one and passed on by the other.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, table
+from .common import Sealed, cut, mix64, table
 from .graph import components
 
 SHINGLE = 5
@@ -46,6 +49,8 @@ BROADCAST_IDS = 2_000_000
 SMALL = 16
 #: A block holds about so many shingles and nodes.
 BLOCK_SHINGLES, BLOCK_NODES = 250_000, 512
+#: What names a row's text without moving it.
+NAME = ["doc_id", "text_hash"]
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -99,7 +104,7 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 def _sketched(batches):
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
         sizes, digests, banded = [], [], []
         seen: dict[bytes, tuple] = {}
         for text in texts:
@@ -112,27 +117,46 @@ def _sketched(batches):
                     seen[key] = (0, None, None)
             n, d, b = seen[key]
             sizes.append(n), digests.append(d), banded.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "bands"])
 
 
 def _sets(batches):
     for batch in batches:
-        found = [shingles(x).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "found"])
+        nodes, found, seen = [], [], set()
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            if node not in seen:
+                seen.add(node)
+                nodes.append(node)
+                found.append(shingles(text).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The docs with these ids: without moving texts if the ids are few enough to be sent out."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def named(sealed: Sealed) -> DataFrame:
+    """The rows with ``NAME``."""
+    return sealed.df.withColumns({"doc_id": sealed.of("doc_id").cast("long"), "text_hash": F.xxhash64(sealed.of("text")), "whole": sealed.of("text")})
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; the sets of their documents are made once."""
+def same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` (cut), to be sent to all executors if they are few enough; more are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, found): the full sets of ``nodes``, made from one text of each class."""
+    wanted = bounded(cut(classes.join(nodes, "node", "left_semi").select("node", *NAME)))
+    met = texts.join(wanted, same(texts, wanted)).select(wanted["node"], texts["whole"])
+    return met.mapInArrow(_sets, "node long, found array<long>").dropDuplicates(["node"])
+
+
+def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose full sets are similar enough; the sets are made once."""
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(_only(docs, cut(ids)).mapInArrow(_sets, "doc_id long, found array<long>").dropDuplicates(["doc_id"]))
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y"))
+    sets = cut(sets_of(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    left, right = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     n, m = F.size("x"), F.size("y")
     near = pairs.join(left, "a").join(right, "b").filter((n * 100 >= m * percent) & (m * 100 >= n * percent)).withColumn("both", F.size(F.array_intersect("x", "y")))
     return near.filter(F.col("both") * 100 >= (n + m - F.col("both")) * percent).select("a", "b")
@@ -166,60 +190,94 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _uniting(percent: int):
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        """Links of a block that unite different labels, one for each two that meet."""
-        group = group.drop_duplicates("rep")
-        rep, label = group["rep"].to_numpy(), group["label"].to_numpy().copy()
+        """Links of a block that unite different labels, one for each two that meet: strangers against all of the block."""
+        strange = set(group.loc[group["stranger"], "node"])
+        group = group.drop_duplicates("node")
+        node, label = group["node"].to_numpy(), group["label"].to_numpy().copy()
         out: list[tuple[int, int]] = []
         if len(set(label)) > 1:
             both = intersections(list(group["found"]))
             size = np.array([len(x) for x in group["found"]], np.float64)
-            near = both.astype(np.float64) * 100 >= (size[:, None] + size[None, :] - both) * percent
-            for i in range(len(rep)):
-                for j in np.flatnonzero(near[i] & (label != label[i])):
+            for i in (k for k, x in enumerate(node) if x in strange):
+                near = both[i].astype(np.float64) * 100 >= (size[i] + size - both[i]) * percent
+                for j in np.flatnonzero(near & (label != label[i])):
                     if label[j] != label[i]:
-                        out.append((rep[i], rep[j]))
+                        out.append((node[i], node[j]))
                         label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return links
 
 
-def _in_blocks(docs: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different labels in buckets of any size: every two blocks of a bucket meet in one group."""
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_NODES)).cast("long")
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    met = rest.withColumns({"blocks": blocks, "own": own}).select("band", "rep", "label", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    sets = _only(docs, cut(rest.select(F.col("rep").alias("doc_id")).distinct())).mapInArrow(_sets, "doc_id long, found array<long>").dropDuplicates(["doc_id"])
-    return met.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("band", "low", "high", "rep", "label", "found").groupBy("band", "low", "high").applyInPandas(_uniting(percent), "a long, b long")
+def _in_blocks(texts: DataFrame, classes: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different labels in buckets (band, node, n, label) of any size."""
+    by_label = rest.groupBy("band", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    shape = by_label.groupBy("band").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.sum("c").alias("members"), F.sum("s").alias("total"))
+    parts = lambda total, members: F.greatest(F.ceil(total / BLOCK_SHINGLES), F.ceil(members / BLOCK_NODES), F.lit(1)).cast("long")
+    shape = shape.select("band", F.col("top.label").alias("main"), parts(F.col("total"), F.col("members")).alias("blocks"), parts(F.col("total") - F.col("top.s"), F.col("members") - F.col("top.c")).alias("asks"))
+    placed = rest.join(shape, "band").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "ask": F.pmod(F.xxhash64(F.lit(1), "node"), "asks"), "stranger": F.col("label") != F.col("main")})
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = placed.select("band", "block", numbers("asks").alias("ask"), "node", "label", F.lit(False).alias("stranger"))
+    asked = placed.filter("stranger").select("band", numbers("blocks").alias("block"), "ask", "node", "label", "stranger")
+    sets = cut(sets_of(texts, classes, rest.select("node").distinct()))
+    return held.unionByName(asked).join(sets, "node").select("band", "block", "ask", "node", "label", "stranger", "found").groupBy("band", "block", "ask").applyInPandas(_uniting(percent), "a long, b long")
+
+
+def classified(sealed: Sealed, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Rows (``NAME``, n_shingles, digest), and (digest, label, component_id) of the classes of equal sets."""
+    texts = named(sealed).select(*NAME, "whole")
+    meta = cut(texts.mapInArrow(_sketched, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NAME)).alias("at")
+    classes = meta.filter("digest is not null").groupBy("digest").agg(first)
+    classes = cut(classes.select("digest", "at.doc_id", "at.text_hash").withColumn("node", F.monotonically_increasing_id()))
+    nodes = meta.filter("digest is not null").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).join(classes.select("digest", "node"), "digest")
+    spread = nodes.select(F.explode("bands").alias("band"), "node", "n")
+    hubs = spread.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last")
+    shared = cut(spread.join(hubs.select("band", "hub"), "band"))
+    links = cut(verified(texts, classes, shared.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), percent))
+    # What shares a bucket and is not yet known to be connected.
+    known = components(links)
+    placed = cut(shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    unsettled = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
+    rest = cut(placed.join(unsettled.select("band", "members"), "band"))
+    side = lambda s: rest.filter(F.col("members") <= SMALL).select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "hub")])
+    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    fresh = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") != F.col("hub_a"))
+    pairs = side("a").join(side("b"), "band").filter(fresh & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    more = cut(verified(texts, classes, pairs, percent).union(_in_blocks(texts, classes, rest.filter(F.col("members") > SMALL).select("band", "node", "n", "label"), percent)))
+    final = components(links.union(more)) if more.limit(1).count() else known
+    of_all = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = of_all.filter("label != node").select("label").distinct().join(of_all, "label").groupBy("label").agg(F.min("doc_id").alias("least"))
+    joined = of_all.join(least, "label", "left")
+    return meta.drop("bands"), joined.select("digest", "label", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text string): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    meta = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = cut(meta.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    nodes = meta.join(classes.filter("rep is not null"), "digest").filter("doc_id = rep").select("rep", "n_shingles", "bands")
-    spread = nodes.select(F.explode("bands").alias("band"), "rep", F.col("n_shingles").alias("n"))
-    hubs = spread.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub != last")
-    shared = cut(spread.join(hubs.select("band", "hub"), "band"))
-    texts = docs.filter("doc_id is not null")
-    links = cut(verified(texts, shared.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), percent))
-    # What shares a bucket and is not yet known to be connected.
-    named = components(links)
-    placed = cut(shared.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    unsettled = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("total")).filter("lo != hi")
-    rest = cut(placed.join(unsettled.select("band", "members", "total"), "band"))
-    side = lambda s: rest.filter(F.col("members") <= SMALL).select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "label", "hub")])
-    close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    fresh = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("rep_a") != F.col("hub_a"))
-    pairs = side("a").join(side("b"), "band").filter(fresh & close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    more = cut(verified(texts, pairs, percent).union(_in_blocks(texts, rest.filter(F.col("members") > SMALL), percent)))
-    final = components(links.union(more)) if more.limit(1).count() else named
-    labels = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = meta.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("label"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows, classes = classified(Sealed(docs), percent)
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = rows.join(classes, "digest", "left").withColumn("component", component)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` without all but one row of each component."""
+    sealed = Sealed(docs)
+    rows, classes = classified(sealed, percent)
+    counted = cut(rows.filter("digest is not null").groupBy("digest", *NAME).agg(F.count("*").alias("rows")).join(classes, "digest").select("label", *NAME, "rows"))
+    first = counted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NAME)).alias("first"))
+    told = counted.join(first, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    dropped = bounded(cut(told.filter("not stays").select(*NAME).distinct()))
+    every = named(sealed)
+    out = every.join(dropped, same(every, dropped), "left_anti")
+    again = cut(told.filter("stays and rows > 1").select(*NAME))
+    if again.limit(1).count():  # rows equal in doc_id and text: the one with the smallest hash of all its columns
+        again = bounded(again)
+        once = out.join(again, same(out, again), "left_anti")
+        whole = F.struct(F.xxhash64(*sealed.df.columns).alias("h"), F.struct(*sealed.df.columns).alias("row"))
+        one = out.join(again, same(out, again), "left_semi").groupBy(*NAME).agg(F.min(whole).alias("m")).select("m.row.*")
+        out = once.select(*sealed.df.columns).unionByName(one)
+    return sealed.opened(out)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
