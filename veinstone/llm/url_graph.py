@@ -1,17 +1,24 @@
 """URL filters: explicit rules, and trust spread over the graph of hosts for what no rule decides.
 
-Hosts are linked by the absolute links of their pages (weighed by their number) and, in both directions with weight
-``FAMILY``, each to the host one label shorter, down to two labels, whether that has pages or not: so a host is tied to all
-its subdomains. Pages that a rule allows make their host a trusted seed, pages that a rule
-blocks a blocked seed, by their numbers. Personalised PageRank carries trust along links; distrust goes against them (who
-links to the blocked is suspect). A host is blocked if more than ``LEAST_SHARE`` of what reached it is distrust.
-
-Mass that dangling hosts would return to the seeds is left out: that scales all scores of a kind alike. The graph is
-aggregated to host pairs (map-side) before the iterations, each of which is two joins and group-bys on narrow rows, cut
-every few rounds; no links or scores reach the driver, and a hot host is only a hot join key, which adaptive execution splits.
+Hosts are linked by the links of their pages (weighed by their number): absolute and protocol-relative ones in any of
+``ATTRIBUTES``, and relative ones of a page whose base is another host. Besides, with weight ``FAMILY`` and in both
+directions, each is linked to the host one label shorter, up to its registrable domain, whether that has pages or not: so
+a domain is tied to all its subdomains, and nothing crosses a public suffix or a shared host (``is_suffix``).
+
+Pages that a rule allows make their host a trusted seed, pages that a rule blocks a blocked seed, by their numbers.
+Personalised PageRank carries trust along links; distrust goes against them (who links to the blocked is suspect). A host
+is blocked if more than ``LEAST_SHARE`` of what reached it is distrust. Scores shrink with the corpus, so only their
+unrounded ratio counts.
+
+``ROUNDS`` steps leave ``DAMPING ** ROUNDS`` (under 1 %) of the mass on the way; the spreading ends before if a step changes
+less than ``SETTLED`` of it. Mass that dangling hosts would return to the seeds is left out: that scales all scores of a
+kind alike. The graph is aggregated to host pairs (map-side) before the iterations, each of which is one join and one
+group-by on narrow rows, cut every few rounds; no links or scores reach the driver, and a hot host is only a hot join key,
+which adaptive execution splits.
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule, and is allowed. A page without html
-has no links. Repeated rows count and are judged each. Other columns pass through. An empty table gives an empty result.
+has no links. Repeated rows count and are judged each. Other columns pass through under any name, those with the name of
+a result are replaced by it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Sealed, cut, table
 
 #: Fixed rules: verdict and rule (host and path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MOST_RULES = 500
-DAMPING, ROUNDS, FAMILY, LEAST_SHARE = 0.85, 12, 1.0, 0.5
+DAMPING, ROUNDS, SETTLED, FAMILY, LEAST_SHARE = 0.85, 29, 1e-9, 1.0, 0.5
 #: IP addresses, which are not subdomains of anything.
 _ADDRESS = r"^(\[|[0-9]+(\.[0-9]+){3}(:|$))"
+#: Attributes that hold links, and ``url`` as in a refresh.
+ATTRIBUTES = ("href", "src", "action", "formaction", "cite", "data", "poster", "background", "longdesc", "manifest", "url")
+#: Fixed word lists: labels below a country's that belong to its registry, and domains whose subdomains have owners of their own.
+REGISTRY = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web")
+SHARED = ("appspot.com", "blogspot.com", "cloudfront.net", "fandom.com", "github.io", "gitlab.io", "herokuapp.com", "livejournal.com", "neocities.org", "netlify.app", "pages.dev", "substack.com", "tumblr.com", "vercel.app", "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,32 +62,54 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
+def is_suffix(host: Column) -> Column:
+    """Whether names right below this one have owners of their own: a top label, a country's registry label, or a shared domain."""
+    shared = "|".join(x.replace(".", "\\.") for x in SHARED)
+    return host.rlike(f"^([^.]+|({'|'.join(REGISTRY)})\\.[a-z][a-z]|{shared})\\.*(:[0-9]*)?$")
+
+
+def linked_hosts(html: Column) -> Column:
+    """array<string>: the host of every link of a page that names one, by itself or by the page's base."""
+    page = F.coalesce(html, F.lit(""))
+    links = F.regexp_extract_all(page, F.lit(f"(?i)\\b(?:{'|'.join(ATTRIBUTES)})\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"), F.lit(1))
+    base = host_of(F.concat(F.lit("x:"), F.regexp_extract(page, "(?i)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?(//[^\"'\\s>]+)", 1)))
+    plain = ~F.contains(F.lower(page), F.lit("<base"))
+    absolute = lambda x: F.when(x.rlike("(?i)^https?://"), host_of(x)).when(F.startswith(x, F.lit("//")), host_of(F.concat(F.lit("x:"), x)))
+    named = lambda x: F.when(plain | x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), F.lit("")).otherwise(base)
+    return F.filter(F.transform(links, lambda x: F.coalesce(absolute(x), named(x))), lambda x: x != "")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) between different hosts of ``pages`` (host, html)."""
-    links = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(?i)href\\s*=\\s*[\"']?(https?://[^\"'\\s>]+)"), F.lit(1))
-    seen = pages.select(F.col("host").alias("src"), F.explode(links).alias("link")).select("src", host_of(F.col("link")).alias("dst")).filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    seen = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(linked_hosts(F.col("html"))).alias("dst")).filter("src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.filter("host != ''").select("host").union(seen.select("dst")).distinct()
     labels = F.size(F.split("host", "\\."))
     steps = hosts.filter((labels > 2) & ~F.col("host").rlike(_ADDRESS)).select("host", F.explode(F.sequence(F.lit(3), labels)).alias("n"))
-    upward = steps.select(F.expr("substring_index(host, '.', -n)").alias("src"), F.expr("substring_index(host, '.', 1 - n)").alias("dst")).filter(F.col("dst").rlike("[^.]\\.+[^.]")).distinct()
+    upward = steps.select(F.expr("substring_index(host, '.', -n)").alias("src"), F.expr("substring_index(host, '.', 1 - n)").alias("dst")).filter(F.col("dst").rlike("[^.]\\.+[^.]") & ~is_suffix(F.col("dst"))).distinct()
     family = upward.union(upward.select("dst", "src")).withColumn("weight", F.lit(FAMILY))
     return seen.union(family).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust) after ``rounds`` steps from seeds (host, trusted, blocked), whose columns each sum to 1 or 0."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
-    edges = cut(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("weight") / F.col("out")).alias("along"), (F.col("weight") / F.col("into")).alias("against")))
-    start = seeds.select("host", (F.col("trusted") * (1 - damping)).alias("trust"), (F.col("blocked") * (1 - damping)).alias("distrust"))
-    scores = start = cut(start)
+    whole = edges.join(out, "src").join(into, "dst")
+    along = whole.select(F.col("src").alias("at"), F.lit(True).alias("good"), F.col("dst").alias("to"), (F.col("weight") / F.col("out") * damping).alias("share"))
+    against = whole.select(F.col("dst").alias("at"), F.lit(False).alias("good"), F.col("src").alias("to"), (F.col("weight") / F.col("into") * damping).alias("share"))
+    steps = cut(along.union(against))
+    start = cut(seeds.select(F.col("host").alias("at"), F.lit(True).alias("good"), (F.col("trusted") * (1 - damping)).alias("score")).union(seeds.select("host", F.lit(False), F.col("blocked") * (1 - damping))).filter("score > 0"))
+    scores, total = start, None
     for k in range(rounds):
-        forth = edges.join(scores.filter("trust > 0"), edges["src"] == scores["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("along") * damping).alias("trust"), F.lit(0.0).alias("distrust"))
-        back = edges.join(scores.filter("distrust > 0"), edges["dst"] == scores["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("against") * damping).alias("distrust"))
-        scores = forth.union(back).union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 3 == 2 or k == rounds - 1:
+        moved = steps.join(scores, ["at", "good"]).select(F.col("to").alias("at"), "good", (F.col("score") * F.col("share")).alias("score"))
+        scores = moved.union(start).groupBy("at", "good").agg(F.sum("score").alias("score"))
+        if k % 4 == 3 or k == rounds - 1:
             scores = cut(scores)
-    return scores.select("host", "trust", "distrust")
+            before, total = total, scores.agg(F.coalesce(F.sum("score"), F.lit(0.0))).head()[0]
+            if before is not None and total - before <= settled * total:
+                break  # the sum only grows, by what is still on the way
+    of = lambda good: F.sum(F.when(F.col("good") == good, F.col("score")).otherwise(0.0))
+    return scores.groupBy(F.col("at").alias("host")).agg(of(True).alias("trust"), of(False).alias("distrust"))
 
 
 def suspect(trust: Column, distrust: Column, least_share: float) -> Column:
@@ -90,17 +124,20 @@ def shown(score: Column) -> Column:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, least_share: float = LEAST_SHARE) -> DataFrame:
     """``pages`` (url, html and others) with host, path, rule, verdict, trust and distrust in place of html."""
-    placed = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    sealed = Sealed(pages)
+    placed = sealed.df.withColumns({"host": host_of(sealed.of("url")), "path": path_of(sealed.of("url"))})
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     ruled = placed.withColumns({"rule": rule, "said": said})
     counts = ruled.filter("said is not null").groupBy("host").agg(F.sum(F.when(F.col("said") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("said") == "block", 1).otherwise(0)).alias("b"))
     counts = cut(counts)
     total = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).head()
     seeds = counts.select("host", (F.col("a") / max(1, total[0])).alias("trusted"), (F.col("b") / max(1, total[1])).alias("blocked"))
-    scores = spread(host_edges(placed.select("host", "html")), seeds)
-    scores = scores.select("host", suspect(F.col("trust"), F.col("distrust"), least_share).alias("_suspect"), shown(F.col("trust")).alias("trust"), shown(F.col("distrust")).alias("distrust"))
-    out = ruled.drop("html", "trust", "distrust", "_suspect").join(scores, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
-    return out.withColumn("verdict", F.coalesce("said", F.when(F.col("_suspect"), "block").otherwise("allow"))).drop("said", "_suspect")
+    scores = spread(host_edges(placed.select("host", sealed.of("html", "string").alias("html"))), seeds)
+    scores = scores.select("host", suspect(F.col("trust"), F.col("distrust"), least_share).alias("suspect"), shown(F.col("trust")).alias("trust"), shown(F.col("distrust")).alias("distrust"))
+    out = ruled.join(scores, "host", "left")
+    verdict = F.coalesce("said", F.when(F.col("suspect"), "block").otherwise("allow"))
+    results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": verdict, "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))}
+    return sealed.opened(out, results, ("html",))
 
 
 def op1_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
