@@ -7,6 +7,7 @@ overlaps one that an earlier pattern has already claimed; results are in the ord
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,18 +75,28 @@ def symbol_mentions(text: str | None, package: str | None = None) -> list[dict]:
     return [{"raw": raw, "start": m.start(), "end": m.end()} | normalized_symbol(raw, package) for m, raw in sorted(found, key=lambda x: x[0].start())]
 
 
+def _where(values: pd.Series, pattern: str, find: Callable[[str], list[dict]]) -> pd.Series:
+    """``find`` of the values that have the pattern; no mentions for the others."""
+    hit = values.str.contains(pattern, regex=True, na=False)
+    return pd.Series([find(t) if h else [] for t, h in zip(values, hit, strict=True)], dtype=object)
+
+
 def versions_in(text: Column | str) -> Column:
+    """All version mentions; only texts with a digit are read."""
+
     @F.pandas_udf(VERSION_TYPE)
     def found(values: pd.Series) -> pd.Series:
-        return values.map(version_mentions)
+        return _where(values, r"\d", version_mentions)
 
     return found(text)
 
 
 def symbols_in(package: str | None = None):
+    """All symbol mentions; only texts with a backtick or a call are read."""
+
     @F.pandas_udf(SYMBOL_TYPE)
-    def found(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: symbol_mentions(t, package))
+    def found(values: pd.Series) -> pd.Series:
+        return _where(values, r"`|\(\)", lambda t: symbol_mentions(t, package))
 
     return found
 

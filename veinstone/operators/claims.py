@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..functions.mentions import normalized_symbol, symbol_mentions, version_mentions, versions_in
+from ..session import sound
 
-# Fixed patterns: a symbol in a replacement, the ways to say so, and the vocabulary of changes, each in order of precedence.
+# Fixed patterns: a symbol in a replacement, the ways to say so, the vocabulary of changes, each in order of precedence; then parameters, actions, references, conjunctions and signal words.
 TOKEN = r"(`[^`]+`|[A-Za-z_]\w*(?:[.:#]{1,2}[A-Za-z_]\w*)+\(\))"
 REPLACEMENTS = [
     ("REPLACEMENT", "old new", rf"{TOKEN}\s+(?:was|is|has been)\s+replaced\s+(?:by|with)\s+{TOKEN}"),
@@ -42,6 +43,12 @@ _PARAMETER, _ACTION, _REFERENCE, _CONJUNCTION, _SIGNAL = (re.compile(p, re.I) fo
 #: (statement, document row) -> claims as dicts of the fields below; for statements with a signal word that no rule reads.
 Extractor = Callable[[str, dict], list[dict]]
 
+
+def declined(statement: str, document: dict) -> list[dict]:
+    """The extractor that is used where none is given: no claims, rather than guesses."""
+    return []
+
+
 CLAIM = "symbol_name string, symbol_package string, symbol_kind string, version_from string, version_to string, change_type string, summary string, external_refs array<string>, replacement_symbol string, parameters array<string>, migration_action_text string, raw_text string, extraction_confidence string, extraction_method string"
 CLAIM_FIELDS = [x.split()[0] for x in CLAIM.split(", ")]
 
@@ -84,7 +91,7 @@ def _by_rules(statement: str, package: str | None, ambient: str | None, refs: li
     return None
 
 
-def claims_of(statement: str, document: dict, ambient: str | None = None, package: str | None = None, extractor: Extractor | None = None) -> list[dict]:
+def claims_of(statement: str, document: dict, ambient: str | None = None, package: str | None = None, extractor: Extractor = declined) -> list[dict]:
     """Claims of one statement: by the rules, else by the rules on its conjuncts, else by the extractor, else none."""
     refs = list(document.get("document_refs") if document.get("document_refs") is not None else [])
     if whole := _by_rules(statement, package, ambient, refs):
@@ -94,7 +101,7 @@ def claims_of(statement: str, document: dict, ambient: str | None = None, packag
         return []
     if _named(statement):
         return [c for part in _CONJUNCTION.split(statement) if part.strip() and (c := _by_rules(part.strip(), package, ambient, refs))] if len(symbols) > 1 else []
-    return extractor(statement, document) if extractor and _SIGNAL.search(statement) else []
+    return extractor(statement, document) if _SIGNAL.search(statement) else []
 
 
 def parts_of(docs: DataFrame, split) -> DataFrame:
@@ -105,9 +112,12 @@ def parts_of(docs: DataFrame, split) -> DataFrame:
     return sectioned.withColumn("ambient", first).select("*", F.posexplode(split(F.col("_s.body"))).alias("piece_no", "piece")).drop("_s")
 
 
-def extract_claims(docs: DataFrame, package: str | None = None, extractor: Extractor | None = None) -> DataFrame:
-    """Claims of documents (document_id, source_type, raw_text, version, document_refs, doc_ord), numbered within each document."""
-    pieces = parts_of(docs, text.statements).withColumn("ambient", F.coalesce("ambient", F.nullif("version", F.lit(""))))
+def extract_claims(docs: DataFrame, package: str | None = None, extractor: Extractor = declined) -> DataFrame:
+    """Claims of documents (document_id, source_type, raw_text, version, document_refs, doc_ord), numbered within each document.
+
+    Only statements with a backtick or a call can name a symbol; no others reach the rules.
+    """
+    pieces = parts_of(docs, text.statements).filter(F.contains("piece", F.lit("`")) | F.contains("piece", F.lit("()"))).withColumn("ambient", F.coalesce("ambient", F.nullif("version", F.lit(""))))
     keep = ["doc_ord", "source_document_id", "source_type", "section", "piece_no"]
     kinds = "doc_ord long, source_document_id string, source_type string, section int, piece_no int, part int"
 
@@ -126,16 +136,21 @@ def extract_claims(docs: DataFrame, package: str | None = None, extractor: Extra
     return found.withColumn("claim_idx", number).drop("section", "piece_no", "part").withColumn("evidence_id", ids.evidence_id(F.col("source_document_id"), F.col("claim_idx"), F.col("raw_text")))
 
 
-def chunks_of(docs: DataFrame, package: str | None = None) -> DataFrame:
-    """Chunks of documents: paragraphs of pull requests and unknown sources, else bullets or whole bodies of sections."""
+#: Sources whose documents are chunked by sections; all others by paragraphs.
+BY_SECTION = ("RELEASE_NOTE", "MIGRATION_GUIDE", "OFFICIAL_DOCS")
+
+
+def chunks_of(docs: DataFrame, package: str | None = None, sectioned: tuple[str, ...] = BY_SECTION) -> DataFrame:
+    """Chunks of documents: bullets or whole bodies of sections for the source types ``sectioned``, paragraphs for all others."""
     from pyspark.sql import Window
 
     from ..functions.mentions import symbols_in
 
-    by_section = F.col("source_type").isin("RELEASE_NOTE", "MIGRATION_GUIDE", "OFFICIAL_DOCS")
+    by_section = F.coalesce(F.col("source_type").isin(*sectioned), F.lit(False))
     one = parts_of(docs.filter(by_section), text.section_chunks)
-    two = docs.filter(~by_section | F.col("source_type").isNull()).select("*", F.lit(0).alias("section"), F.lit(None).cast("string").alias("ambient"), F.posexplode(text.paragraphs(F.col("raw_text"))).alias("piece_no", "piece"))
+    two = docs.filter(~by_section).select("*", F.lit(0).alias("section"), F.lit(None).cast("string").alias("ambient"), F.posexplode(text.paragraphs(F.col("raw_text"))).alias("piece_no", "piece"))
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("section", "piece_no")) - 1
+    sound(docs.sparkSession)
     found = one.unionByName(two).withColumn("ord", index).withColumns({"_v": versions_in("piece"), "_s": symbols_in(package)("piece")})
     version = F.coalesce(F.when(F.size("_v") > 0, F.get("_v", F.lit(0))["normalized"]), F.nullif("ambient", F.lit("")), F.nullif("version", F.lit("")))
     symbols = F.array_sort(F.array_distinct(F.transform("_s", lambda s: s["name"])))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sound
+
 
 def recall_at(required: Column, found: Column, k: int) -> Column:
     """Share of the required ids, repeats counted, among the first k; 1 if none is required."""
@@ -56,10 +58,36 @@ def quadrants(results: DataFrame) -> DataFrame:
     """(query_id, quadrant): where one mode finds all and another does not; a query may be in none."""
     wide = results.groupBy("query_id").pivot("mode", ["dense", "sparse", "hybrid"]).agg(F.first("recall_at_5"))
     d, s, h = (F.coalesce(F.col(m), F.lit(0.0)) >= 0.999 for m in ("dense", "sparse", "hybrid"))
-    names = {"dense_only": d & ~s, "sparse_only": s & ~d, "hybrid_fixes_both": h & ~d & ~s, "all_fail": ~h & ~d & ~s}
+    names = {"dense_only_succeeds": d & ~s, "sparse_only_succeeds": s & ~d, "hybrid_fixes_both": h & ~d & ~s, "all_fail": ~h & ~d & ~s}
     return wide.select("query_id", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in names.items()]), lambda x: x.isNotNull())).alias("quadrant"))
 
 
+def failing(results: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Queries (query_id) that a mode answers with less than full recall in the first five, from results as the sink wrote them."""
+    return results.filter((F.col("retrieval_mode") == mode) & (F.col("recall_at_5").cast("double") < 1)).select("query_id")
+
+
+def diagnosis(rankings: dict[str, DataFrame], mapping: DataFrame, required: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """(query_id, item, mode, rank, within_k): for each required item its first uncompressed rank in each mode, null if it isn't found.
+
+    ``mapping``: (item_id, item); ``required``: (query_id, required).
+    """
+    wanted = required.select("query_id", F.explode("required").alias("item"))
+    sound(required.sparkSession)
+    out = None
+    for mode, ranking in rankings.items():
+        hit = ranking.select("query_id", "item_id", "rank").join(mapping.select("item_id", "item"), "item_id").groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+        one = wanted.join(hit, ["query_id", "item"], "left").withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumns({f"within_{k}": F.coalesce(F.col("rank") <= k, F.lit(False)) for k in cutoffs})
+
+
+def counts(gold: DataFrame) -> DataFrame:
+    """(kind, value, n): queries by type and by scope."""
+    one = lambda kind, column: gold.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return one("query_type", "query_type").unionByName(one("evaluation_scope", "evaluation_scope"))
+
+
 def rank_trace(ranking: DataFrame, required: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """First uncompressed rank of any required item (item_id) for each query, and whether it is within the cutoffs."""
     hit = required.select("query_id", F.explode("required").alias("item_id")).join(ranking, ["query_id", "item_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))

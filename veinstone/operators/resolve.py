@@ -42,19 +42,19 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
 
 
-def pair_score(a: str, b: str, similarity: Column) -> Column:
+def pair_score(a: str, b: str, similarity: Column, weights: dict[str, float] = WEIGHTS) -> Column:
     """struct<symbol_exact, version_compatible, change_type_match, semantic_similarity, total>."""
     f = lambda side, name: F.col(f"{side}.{name}")
     number = lambda test: F.when(test, 1.0).otherwise(0.0)
     known = _set(f(a, "version_to")) & _set(f(b, "version_to"))
     signals = {"symbol_exact": number((f(a, "symbol_name") == f(b, "symbol_name")) & (f(a, "symbol_package") == f(b, "symbol_package"))), "version_compatible": number(~known | (f(a, "version_to") == f(b, "version_to"))), "change_type_match": number(f(a, "change_type") == f(b, "change_type")), "semantic_similarity": similarity}
-    total = sum((F.lit(WEIGHTS[k]) * v for k, v in signals.items()), F.lit(0.0))
+    total = sum((F.lit(weights[k]) * v for k, v in signals.items()), F.lit(0.0))
     return F.struct(*[v.alias(k) for k, v in signals.items()], total.alias("total"))
 
 
-def decision(veto: Column, shared_ref: Column, total: Column) -> Column:
+def decision(veto: Column, shared_ref: Column, total: Column, inferred: float = INFERRED, possible: float = POSSIBLE) -> Column:
     """struct<decision, method, score>."""
-    said = F.when(veto.isNotNull(), "NO_MATCH").when(shared_ref, "MATCH_EXPLICIT").when(total >= INFERRED, "MATCH_INFERRED").when(total >= POSSIBLE, "AMBIGUOUS").otherwise("NO_MATCH")
+    said = F.when(veto.isNotNull(), "NO_MATCH").when(shared_ref, "MATCH_EXPLICIT").when(total >= inferred, "MATCH_INFERRED").when(total >= possible, "AMBIGUOUS").otherwise("NO_MATCH")
     method = F.when(veto.isNull() & shared_ref, "EXPLICIT_REFERENCE").otherwise("PAIRWISE_RESOLUTION")
     score = F.when(veto.isNotNull(), 0.0).when(shared_ref, 1.0).otherwise(total)
     return F.struct(said.alias("decision"), method.alias("method"), score.alias("score"))
@@ -78,6 +78,23 @@ def hashed_embedder(size: int = 384) -> Embedder:
     return embed
 
 
+#: Models of this process by name.
+HELD: dict[str, Callable] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """An embedder or scorer that is loaded where it is used: once in each worker process, at its first call."""
+
+    def run(texts):
+        from veinstone.operators import resolve  # the process's own, not one that came with the task
+
+        if name not in resolve.HELD:
+            resolve.HELD[name] = load()
+        return resolve.HELD[name](texts)
+
+    return run
+
+
 LINKED = "kind string, evidence_id string, change_id string, link_type string, link_confidence double, confidence_tier string, link_method string, provenance string, review_status string, symbol_name string, symbol_package string, symbol_kind string, version_from string, version_to string, change_type string, summary string, replacement_symbol string, external_refs array<string>, other_change_id string, reason string"
 _COLUMNS = [x.split()[0] for x in LINKED.split(", ")]
 
@@ -90,32 +107,37 @@ def _list(x) -> list:
     return [] if x is None or isinstance(x, float) else list(x)
 
 
-def fold(embed: Embedder) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links the evidence of one block in order: to one sure match, to all unsure ones for review, or as a change of its own."""
+def fold(embed: Embedder, compatible: tuple[tuple[str, str], ...] = (), weights: dict[str, float] = WEIGHTS) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links the evidence of one block in order: to one sure match, to all unsure ones for review, or as a change of its own.
+
+    A claim is only judged against changes of its version or of none, found by version. ``compatible``: pairs of change
+    types that don't forbid a link.
+    """
+    allowed = {frozenset(pair) for pair in compatible}
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["doc_ord", "claim_idx"], kind="stable")
         rows = block.astype(object).where(block.notna(), None).to_dict("records")
         summaries = list(dict.fromkeys(r["summary"] for r in rows))
         vectors = dict(zip(summaries, embed(summaries), strict=True))
-        changes: list[dict] = []
+        by_version: dict[str, list[dict]] = {}
         out: list[dict] = []
+        number = 0
         for r in rows:
             refs, sure, unsure, vetoed = set(_list(r["external_refs"])), [], [], []
-            for c in changes:
-                if r["version_to"] and c["version_to"] and r["version_to"] != c["version_to"]:
-                    continue
+            wanted = by_version.values() if not r["version_to"] else [by_version.get(r["version_to"], []), by_version.get("", [])]
+            for c in sorted((c for held in wanted for c in held), key=lambda c: c["number"]):
                 theirs = set(_list(c["external_refs"]))
                 if refs and theirs and not refs & theirs:
                     vetoed.append((c, REASONS[0]))
-                elif r["change_type"] != c["change_type"]:
+                elif r["change_type"] != c["change_type"] and frozenset((r["change_type"], c["change_type"])) not in allowed:
                     vetoed.append((c, REASONS[2]))
                 elif refs & theirs:
                     sure.append((c, "EXPLICIT", 1.0, "EXPLICIT_REFERENCE", f"shared reference {sorted(refs & theirs)[0]}"))
                 else:
                     blank = not (r["summary"] or "").strip() or not (c["summary"] or "").strip()
                     near = 0.0 if blank else float(vectors[r["summary"]] @ vectors[c["summary"]])
-                    total = 0.75 + WEIGHTS["semantic_similarity"] * near
+                    total = weights["symbol_exact"] + weights["version_compatible"] + weights["change_type_match"] * (r["change_type"] == c["change_type"]) + weights["semantic_similarity"] * near
                     said = f"score {total:.4f}"
                     if total >= INFERRED:
                         sure.append((c, "INFERRED_HIGH_CONFIDENCE", total, "PAIRWISE_RESOLUTION", said))
@@ -129,8 +151,10 @@ def fold(embed: Embedder) -> Callable[[pd.DataFrame], pd.DataFrame]:
             else:
                 settled = _digest(r["symbol_name"], r["symbol_package"], r["version_to"], r["change_type"], r["evidence_id"])
                 fields = {k: r[k] for k in ("symbol_name", "symbol_package", "symbol_kind", "version_from", "version_to", "change_type", "summary", "replacement_symbol")}
-                changes.append(fields | {"external_refs": _list(r["external_refs"]), "change_id": settled})
-                out.append(changes[-1] | {"kind": "change", "evidence_id": r["evidence_id"]})
+                number += 1
+                made = fields | {"external_refs": _list(r["external_refs"]), "change_id": settled, "number": number}
+                by_version.setdefault(r["version_to"] or "", []).append(made)
+                out.append(made | {"kind": "change", "evidence_id": r["evidence_id"]})
                 out.append(link | {"change_id": settled, "link_type": "PRIMARY", "link_confidence": 1.0, "confidence_tier": "EXPLICIT", "link_method": "ORIGINATING", "provenance": "originating evidence", "review_status": "UNREVIEWED"})
             if settled:
                 out += [{"kind": "cannot_link", "change_id": min(settled, c["change_id"]), "other_change_id": max(settled, c["change_id"]), "reason": why} for c, why in vetoed if c["change_id"] != settled]
@@ -139,6 +163,6 @@ def fold(embed: Embedder) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def link_evidence(claims: DataFrame, embed: Embedder | None = None) -> DataFrame:
+def link_evidence(claims: DataFrame, embed: Embedder | None = None, compatible: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """Rows of kind change, link and cannot_link, for claims with evidence_id, doc_ord and claim_idx. One shuffle, by block."""
-    return claims.groupBy("symbol_name", "symbol_package").applyInPandas(fold(embed or hashed_embedder()), LINKED)
+    return claims.groupBy("symbol_name", "symbol_package").applyInPandas(fold(embed or hashed_embedder(), compatible), LINKED)

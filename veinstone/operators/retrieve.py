@@ -10,16 +10,20 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
 from ..functions.mentions import overlap
+from ..session import sound
 
 # Fixed constants.
 K1, B, RRF_K, CANDIDATES, OUTPUT = 1.5, 0.75, 60, 40, 10
-#: Queries are scored in blocks of this many, so that a block's statistics and scores are small for any corpus.
-QUERY_BLOCK = 2000
+#: Vector queries are scored in blocks of this many, word queries together up to so many words.
+QUERY_BLOCK, QUERY_TERMS = 2000, 5_000_000
 
+# Fixed pattern: what a token is.
 _TOKEN = re.compile(r"[A-Za-z_]\w*(?:[.:#]{1,2}[A-Za-z_]\w*)*|\d+(?:\.\d+)*")
 _JOINT = re.compile(r"[.:#]+")
 
@@ -52,104 +56,166 @@ def idf(n: Column | float, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25(items: DataFrame, queries: DataFrame, k: int = OUTPUT, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(items: DataFrame, queries: DataFrame, k: int = OUTPUT, k1: float = K1, b: float = B, most_terms: int = QUERY_TERMS) -> DataFrame:
     """Top k of every query (query_id, text) over items (item_id, text), by score rounded to 6 places, then item_id.
 
-    The queries' words are all that the scoring needs of the corpus statistics, so two scans with map-side sums do: one
-    counts documents per query word, one scores each text against all queries and keeps each batch's top k.
+    Queries with up to ``most_terms`` words in all are sent to the scan as a sparse matrix, and two scans with map-side sums
+    do: one counts documents per query word, one scores each text against the queries that share a word with it and
+    keeps each batch's top k. More queries than that are joined with the postings by a shuffle (``by_postings``).
     """
-    asked = [(r["query_id"], Counter(tokenized(r["text"]))) for r in queries.select("query_id", "text").collect()]
-    asked.sort(key=lambda x: x[0])
-    out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        one = _bm25(items, asked[at : at + QUERY_BLOCK], k, k1, b, queries.schema["query_id"].dataType.simpleString())
-        out = one if out is None else out.unionByName(one)
-    return out
+    asked = queries.select("query_id", text_functions.tokens(F.col("text")).alias("words"))
+    if (asked.agg(F.sum(F.size("words"))).head()[0] or 0) > most_terms:
+        return by_postings(items, queries, k, k1, b)
+    return _bm25(items.select("item_id", "text"), [(r["query_id"], Counter(r["words"])) for r in asked.collect()], k, k1, b, queries.schema["query_id"].dataType.simpleString())
+
+
+def by_postings(items: DataFrame, queries: DataFrame, k: int = OUTPUT, k1: float = K1, b: float = B) -> DataFrame:
+    """The same ranking by joins: any number of queries, words and postings."""
+    words = queries.select("query_id", F.explode(text_functions.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    sized = items.select("item_id", text_functions.tokens(F.col("text")).alias("t"))
+    stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
+    postings = sized.select("item_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(words.select("term").distinct(), "term", "left_semi").groupBy("term", "item_id", "dl").agg(F.count("*").alias("f"))
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    average = F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)
+    share = F.col("times") * idf(F.col("n"), F.col("df")) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / average))
+    scored = words.join(frequency, "term").join(postings, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "item_id").agg(F.round(F.sum(share), 6).alias("score"))  # stats is one row
+    return best(scored.filter("score > 0"), k)
 
 
-def _counts(text: str, index: dict[str, int]) -> tuple[int, dict[int, int]]:
-    found = tokenized(text)
-    return len(found), Counter(index[t] for t in found if t in index)
+def _kept(group: np.ndarray, score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the first k of each group by score, largest first, then place."""
+    order = np.lexsort((place, -score, group))
+    sorted_group = group[order]
+    first = np.flatnonzero(np.r_[True, sorted_group[1:] != sorted_group[:-1]]) if len(order) else np.empty(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[rank < k]
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
 def _bm25(items: DataFrame, asked: list, k: int, k1: float, b: float, id_type: str) -> DataFrame:
-    index = {t: i for i, t in enumerate(sorted({t for _, words in asked for t in words}))}
-    items = items.select("item_id", "text")
+    spark = items.sparkSession
+    words = spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted({t for _, found in asked for t in found}))})
+    index = words.value
     item_type = items.schema["item_id"].dataType.simpleString()
 
     def count(batches):
+        index = words.value
         df, n, total = np.zeros(len(index), np.int64), 0, 0
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                size, found = _counts(text, index)
-                n, total = n + 1, total + size
-                for i in found:
+                found = tokenized(text)
+                n, total = n + 1, total + len(found)
+                for i in {index[t] for t in found if t in index}:
                     df[i] += 1
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *used.tolist()]), pa.array([n, total, *df[used].tolist()])], ["term", "n"])
 
-    stats = dict(items.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())
+    stats = dict(items.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect())  # a row for each word of the queries
     n, total = stats.get(-2, 0), stats.get(-1, 0)
     average = (total / n if n else 0) or 1.0
-    weight = np.zeros((len(index), len(asked)))
-    for q, (_, words) in enumerate(asked):
-        for t, times in words.items():
-            df = stats.get(index[t], 0)
-            weight[index[t], q] = times * math.log(1 + (n - df + 0.5) / (df + 0.5))
-    ids = [q for q, _ in asked]
+    # Word by word: which queries ask for it, and with what weight.
+    entries = [(index[t], q, times) for q, (_, found) in enumerate(asked) for t, times in found.items()]
+    term, query, times = (np.array(x, np.int64) for x in zip(*entries, strict=True)) if entries else (np.empty(0, np.int64),) * 3
+    order = np.argsort(term, kind="stable")
+    df = np.array([stats.get(i, 0) for i in range(len(index))], np.float64)
+    weight = (times * np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)))[order]
+    starts = np.searchsorted(term[order], np.arange(len(index) + 1))
+    sent = spark.sparkContext.broadcast((starts, query[order], weight, pa.array([q for q, _ in asked], _arrow(id_type))))
 
     def score(batches):
+        index, (starts, by_word, weights, ids) = words.value, sent.value
         for batch in batches:
-            kept: list[tuple] = []
-            texts, names = batch.column(1).to_pylist(), np.array(batch.column(0).to_pylist(), object)
-            for start in range(0, len(texts), 512):
-                part = texts[start : start + 512]
-                scores = np.zeros((len(part), len(ids)))
-                for row, text in enumerate(part):
-                    size, found = _counts(text, index)
-                    if found:  # only the rows of the words that the text has
-                        f = np.fromiter(found.values(), float, len(found))
-                        scores[row] = (f * (k1 + 1) / (f + k1 * (1 - b + b * size / average))) @ weight[list(found)]
-                scores = scores.round(6)
-                place = np.empty(len(part), np.int64)
-                place[sorted(range(len(part)), key=lambda r: names[start + r])] = np.arange(len(part))  # noqa: B023
-                for q in range(len(ids)):
-                    hit = np.flatnonzero(scores[:, q] > 0)
-                    order = hit[np.lexsort((place[hit], -scores[hit, q]))[:k]]
-                    kept += [(ids[q], names[start + r], float(scores[r, q])) for r in order]
-            frame = pd.DataFrame(kept, columns=["query_id", "item_id", "score"])
-            yield pa.RecordBatch.from_pandas(frame.astype({"score": float}), schema=pa.schema([("query_id", pa.int64() if id_type == "bigint" else pa.string()), ("item_id", pa.int64() if item_type == "bigint" else pa.string()), ("score", pa.float64())]), preserve_index=False)
+            rows, terms, shares = [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = tokenized(text)
+                held = Counter(t for t in found if t in index)
+                if held:
+                    f = np.fromiter(held.values(), float, len(held))
+                    rows.append(np.full(len(held), row))
+                    terms.append(np.fromiter((index[t] for t in held), np.int64, len(held)))
+                    shares.append(f * (k1 + 1) / (f + k1 * (1 - b + b * len(found) / average)))
+            names = batch.column(0)
+            if not rows:
+                continue
+            # Some millions of (query, row) shares at a time.
+            row, term, share = np.concatenate(rows), np.concatenate(terms), np.concatenate(shares)
+            many = starts[term + 1] - starts[term]
+            cuts = np.searchsorted(np.cumsum(many), np.arange(4_000_000, int(many.sum()) + 4_000_000, 4_000_000))
+            bounds = sorted({0, *(int(np.searchsorted(row, row[min(c, len(row) - 1)], "right")) for c in cuts), len(row)})
+            place = np.empty(batch.num_rows, np.int64)
+            place[pa.compute.sort_indices(names).to_numpy()] = np.arange(batch.num_rows)
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                m = many[low:high]
+                at = np.repeat(starts[term[low:high]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(int(m.sum()))
+                key = by_word[at] * batch.num_rows + np.repeat(row[low:high], m)
+                pair, inverse = np.unique(key, return_inverse=True)
+                scores = np.bincount(inverse, weights[at] * np.repeat(share[low:high], m)).round(6)
+                q, r = np.divmod(pair[scores > 0], batch.num_rows)
+                scores = scores[scores > 0]
+                keep = _kept(q, scores, place[r], k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[keep])), names.take(pa.array(r[keep])).cast(_arrow(item_type)), pa.array(scores[keep])], ["query_id", "item_id", "score"])
 
     return best(items.mapInArrow(score, f"query_id {id_type}, item_id {item_type}, score double"), k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix, from the array's own buffer."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
 def dense(items: DataFrame, queries: DataFrame, k: int = OUTPUT, places: int = 6) -> DataFrame:
-    """Top k by squared distance of unit or other vectors (item_id long, embedding), smallest first; score is the distance.
+    """Top k by squared distance of unit or other vectors (item_id, embedding), smallest first; score is the distance.
 
-    Queries go to the scan in blocks; each batch is one matrix product and keeps its top k.
+    Queries are broadcast in blocks of ``QUERY_BLOCK``; each batch is one matrix product and keeps its top k.
     """
-    asked = queries.select("query_id", "embedding").collect()
-    asked.sort(key=lambda r: r["query_id"])
+    spark = items.sparkSession
+    id_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (items, "item_id")))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>")).toArrow().sort_by("query_id").combine_chunks()
     out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        ids = [r["query_id"] for r in asked[at : at + QUERY_BLOCK]]
-        q = np.array([r["embedding"] for r in asked[at : at + QUERY_BLOCK]], np.float64)
+    for start in range(0, max(1, asked.num_rows), QUERY_BLOCK):
+        block = asked.slice(start, QUERY_BLOCK)
+        sent = spark.sparkContext.broadcast((block["query_id"].combine_chunks(), _matrix(block["embedding"].combine_chunks())))
 
-        def score(batches, ids=ids, q=q):
+        def score(batches, sent=sent):
+            ids, q = sent.value
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                names = np.asarray(batch.column(0))
-                x = np.array(batch.column(1).to_pylist(), np.float64)
+                x = _matrix(batch.column(1))
                 far = np.round(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0), places)
-                rows = [(i, o) for i in range(len(ids)) for o in np.lexsort((names, far[i]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in rows], pa.int64()), pa.array([int(names[o]) for _, o in rows], pa.int64()), pa.array([float(far[i, o]) for i, o in rows])], ["query_id", "item_id", "score"])
-
-        one = items.select(F.col("item_id").cast("long"), "embedding").mapInArrow(score, "query_id long, item_id long, score double")
+                place = np.empty(batch.num_rows, np.int64)
+                place[pa.compute.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                near = np.arange(batch.num_rows)[None, :].repeat(len(ids), 0) if batch.num_rows <= 4 * k else np.argpartition(far, k, axis=1)[:, : k + 1]
+                limit = np.take_along_axis(far, near, 1).max(axis=1, keepdims=True) if batch.num_rows > 4 * k else np.full((len(ids), 1), np.inf)
+                i, o = np.nonzero(far <= limit)  # with all that are as near as the last
+                keep = _kept(i, -far[i, o], place[o], k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[keep])), batch.column(0).take(pa.array(o[keep])), pa.array(far[i[keep], o[keep]])], ["query_id", "item_id", "score"])
+
+        one = items.select("item_id", F.col("embedding").cast("array<double>")).mapInArrow(score, f"query_id {id_type}, item_id {item_type}, score double")
         out = one if out is None else out.unionByName(one)
     return top(out, k, F.col("score"), F.col("item_id"))
 
 
+def retrieve_sparse(items: DataFrame, queries: DataFrame, output: int = OUTPUT, candidates: int = CANDIDATES, **filters) -> DataFrame:
+    """BM25's candidates, filtered and cut."""
+    return _retrieved(lambda: bm25(items, queries, candidates), output, candidates, filters)
+
+
+def retrieve_dense(items: DataFrame, queries: DataFrame, output: int = OUTPUT, candidates: int = CANDIDATES, **filters) -> DataFrame:
+    """The nearest vectors' candidates, filtered and cut."""
+    return _retrieved(lambda: dense(items, queries, candidates), output, candidates, filters)
+
+
+def _retrieved(ranked: Callable[[], DataFrame], output: int, candidates: int, filters: dict) -> DataFrame:
+    check_depth(output, candidates)
+    found = ranked()
+    return (filtered(found, **filters) if filters else found).filter(F.col("rank") <= output)
+
+
 def fuse(rankings: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion; ties go by the place in the first ranking that has the item."""
     weights = weights or [1.0] * len(rankings)
@@ -161,6 +227,7 @@ def fuse(rankings: list[DataFrame], weights: list[float] | None = None, k: int =
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no rankings")
+    sound(out.sparkSession)
     summed = out.groupBy("query_id", "item_id").agg(F.round(F.sum("part"), 9).alias("score"), F.min("place").alias("place"))
     return top(summed, 1 << 30, F.col("score").desc(), F.col("place.list"), F.col("place.rank")).drop("place")
 
@@ -218,6 +285,14 @@ def word_overlap(pairs: list[tuple[str, str]]) -> list[float]:
     return out
 
 
+# Fixed text: the prompt before the context, before the question, and after it. Lines are indented by four spaces.
+PROMPT = (
+    "\n    Answer the question using only the provided context.\n    If the answer cannot be found in the context, say that you do not have enough information.\n    Context:\n    ",
+    "\n    Question:\n    ",
+    "\n    Answer:\n    ",
+)
+
+
 def prompt(question: Column, contexts: Column) -> Column:
     """The model's prompt for a question and its ordered contexts."""
-    return F.concat(F.lit("Answer the question using only the provided context.\nIf the answer cannot be found in the context, say that you do not have enough information.\nContext:\n"), F.array_join(contexts, "\n"), F.lit("\nQuestion:\n"), question, F.lit("\nAnswer:\n"))
+    return F.concat(F.lit(PROMPT[0]), F.array_join(contexts, "\n"), F.lit(PROMPT[1]), question, F.lit(PROMPT[2]))

@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mentions import interval, point, versions_in
+from ..functions.text import stripped
 from ..operators import claims as claim_ops
 from ..operators import evaluate, resolve, retrieve, store
+from ..session import sound
 
 MODES = ("dense", "sparse", "hybrid", "hybrid_version_filtered")
 WEIGHTS = {"rrf_1_1": None, "rrf_dense2_sparse1": [2.0, 1.0], "rrf_dense1_sparse2": [1.0, 2.0]}
 
 
-def build(docs: DataFrame, package: str | None = None, embed: resolve.Embedder | None = None, extractor: claim_ops.Extractor | None = None) -> dict[str, DataFrame]:
+def build(docs: DataFrame, package: str | None = None, embed: resolve.Embedder | None = None, extractor: claim_ops.Extractor = claim_ops.declined) -> dict[str, DataFrame]:
     """chunks (with evidence_id), claims, change_records, evidence_links and cannot_link_constraints of documents."""
+    sound(docs.sparkSession)
     found = claim_ops.extract_claims(docs, package, extractor)
     linked = resolve.link_evidence(found, embed)
     chunks = claim_ops.chunks_of(docs, package)
+    order = found.select("evidence_id", F.struct("doc_ord", "claim_idx").alias("ord"))
     links = linked.filter("kind = 'link'").select("evidence_id", "change_id", "link_type", "link_confidence", "confidence_tier", "link_method", "provenance", "review_status")
-    records = linked.filter("kind = 'change'").select("change_id", "symbol_name", "symbol_package", "symbol_kind", "version_from", "version_to", "change_type", "summary", "external_refs", "replacement_symbol")
+    records = linked.filter("kind = 'change'").select("change_id", "symbol_name", "symbol_package", "symbol_kind", "version_from", "version_to", "change_type", "summary", "external_refs", "replacement_symbol", "evidence_id").join(order, "evidence_id").drop("evidence_id")
     pairs = linked.filter("kind = 'cannot_link'").select(F.col("change_id").alias("change_id_a"), F.col("other_change_id").alias("change_id_b"), "reason").distinct()
     return {"chunks": store.with_evidence(chunks, store.owning_chunks(found, chunks)), "claims": found, "change_records": records, "evidence_links": links, "cannot_link_constraints": pairs}
 
@@ -42,30 +46,45 @@ def query_intervals(gold: DataFrame) -> DataFrame:
     return named.select("query_id", interval(F.col("v.normalized"), F.col("v.normalized_end"), F.col("v.qualifier")).alias("wanted"))
 
 
-def rankings(chunks: DataFrame, gold: DataFrame, embed: resolve.Embedder | None = None, output: int = retrieve.OUTPUT) -> dict[str, DataFrame]:
-    """A ranking of chunks (item_id is their order in the corpus) for each mode. Chunks are numbered by doc_ord and ord."""
+def candidates(chunks: DataFrame, gold: DataFrame, embed: resolve.Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dense and the sparse candidates of every query: what all modes start from. Chunks are numbered (``n``) in the corpus's order."""
     embed = embed or resolve.hashed_embedder()
     queries = gold.select("query_id", F.col("query_text").alias("text"))
     sparse = retrieve.bm25(chunks.select(F.col("n").alias("item_id"), "text"), queries, retrieve.CANDIDATES)
-    vectors, asked = embedded(chunks, embed, "n"), embedded(queries, embed, "query_id")
-    numbers = {r["query_id"]: i for i, r in enumerate(asked.select("query_id").orderBy("query_id").collect())}
-    spark = gold.sparkSession
-    keys = spark.createDataFrame(list(numbers.items()), "query_id string, q long")
-    near = retrieve.dense(vectors.withColumnRenamed("n", "item_id"), asked.join(keys, "query_id").select(F.col("q").alias("query_id"), "embedding"), retrieve.CANDIDATES, 9)
-    near = near.withColumnRenamed("query_id", "q").join(keys, "q").select("query_id", "item_id", "score", "rank")
+    near = retrieve.dense(embedded(chunks, embed, "n").withColumnRenamed("n", "item_id"), embedded(queries, embed, "query_id"), retrieve.CANDIDATES, 9)
+    return near, sparse
+
+
+def rankings(chunks: DataFrame, gold: DataFrame, embed: resolve.Embedder | None = None, output: int = retrieve.OUTPUT) -> dict[str, DataFrame]:
+    """A ranking of chunks for each mode."""
+    near, sparse = candidates(chunks, gold, embed)
     items = chunks.select(F.col("n").alias("item_id"), "package", point(F.col("version")).alias("versions"))
     cut = lambda df: df.filter(F.col("rank") <= output)
     return {"dense": cut(near), "sparse": cut(sparse), "hybrid": retrieve.hybrid(near, sparse, output), "hybrid_version_filtered": retrieve.hybrid(near, sparse, output, items=items, wanted=query_intervals(gold))}
 
 
-def numbered(chunks: DataFrame, spark: SparkSession) -> DataFrame:
-    """Chunks with their number ``n`` in the order of documents."""
-    sizes = {r["doc_ord"]: r["n"] for r in chunks.groupBy("doc_ord").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for doc in sorted(sizes):
-        before.append((doc, total))
-        total += sizes[doc]
-    return chunks.join(spark.createDataFrame(before, "doc_ord long, before long"), "doc_ord").withColumn("n", F.col("before") + F.col("ord")).drop("before")
+def ablation(chunks: DataFrame, gold: DataFrame, embed: resolve.Embedder | None = None, scorer: retrieve.Scorer | None = None, output: int = retrieve.OUTPUT) -> dict[str, DataFrame]:
+    """Rankings by fusion weights, and by reranking all candidates of the equal weights before the cut."""
+    near, sparse = candidates(chunks, gold, embed)
+    out = {mode: retrieve.hybrid(near, sparse, output, weights=weights) for mode, weights in WEIGHTS.items()}
+    pool = retrieve.hybrid(near, sparse, retrieve.CANDIDATES).drop("score")
+    texts = chunks.select(F.col("n").alias("item_id"), "text")
+    return out | {"hybrid_reranked": retrieve.rerank(pool.join(gold.select("query_id", "query_text"), "query_id").join(texts, "item_id"), output, scorer)}
+
+
+def numbered(chunks: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Chunks with a number ``n`` that goes up in the order of documents and chunks (with gaps: up to 2^31 chunks a document)."""
+    return chunks.withColumn("n", F.shiftleft(F.col("doc_ord").cast("long"), 31) + F.col("ord"))
+
+
+def statistics(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n): how many documents, chunks, claims, chunks with evidence and rows of the store there are."""
+    named = {"documents": docs, "chunks": tables["chunks"], "unresolved_changes": tables["claims"], "chunks_with_evidence": tables["chunks"].filter("evidence_id is not null"), **{k: tables[k] for k in ("change_records", "evidence_links", "cannot_link_constraints")}}
+    out = None
+    for name, df in named.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def scored(chunks: DataFrame, links: DataFrame, gold: DataFrame, by_mode: dict[str, DataFrame], level: str = "change") -> DataFrame:
@@ -95,16 +114,33 @@ def checklist(gold: DataFrame, changes: DataFrame, links: DataFrame, chunks: Dat
     return by_query.withColumn("t", titled).groupBy("query_type").agg(F.count("*").alias("queries"), F.array_join(F.sort_array(F.collect_list("t")), "\n\n").alias("text"))
 
 
-def gold_rows(wanted: DataFrame, changes: DataFrame, links: DataFrame) -> DataFrame:
-    """(query_id, required_change_ids, relevant_evidence_ids) of wanted (query_id, symbols): raises if a symbol has no change."""
-    last = changes.groupBy("symbol_name").agg(F.max("change_id").alias("change_id"))
-    found = wanted.select("query_id", F.posexplode("symbols").alias("pos", "symbol_name")).join(last, "symbol_name", "left")
-    missing = [r[0] for r in found.filter("change_id is null").select("symbol_name").distinct().limit(20).collect()]
-    if missing:
-        raise ValueError(f"no change for {missing}")
-    proof = found.join(links.select("change_id", "evidence_id"), "change_id", "left")
-    ordered = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "change_id"))), lambda s: s["change_id"]).alias("required_change_ids"))
-    return ordered.join(proof.groupBy("query_id").agg(F.sort_array(F.collect_set("evidence_id")).alias("relevant_evidence_ids")), "query_id")
+def _missing(rows: DataFrame, column: str, what: str) -> None:
+    gone = [r[0] for r in rows.select(column).distinct().orderBy(column).limit(20).collect()]
+    if gone:
+        raise ValueError(f"{what}: {gone}")
+
+
+def gold_rows(wanted: DataFrame, changes: DataFrame, links: DataFrame, order: str = "ord", facts: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, required_change_ids, relevant_evidence_ids, stability_evidence_ids) of wanted (query_id, symbols).
+
+    Of the changes of a symbol the last by ``order`` counts. Evidence is listed change by change, each change's in order of ids.
+    ``facts`` (query_id, fact) are texts that must be a whole chunk's: their queries get that chunk's id and nothing else. A
+    symbol without a change or a fact without a chunk raises.
+    """
+    last = changes.groupBy("symbol_name").agg(F.max_by("change_id", order).alias("change_id"))
+    found = wanted.select("query_id", F.posexplode_outer("symbols").alias("pos", "symbol_name")).join(last, "symbol_name", "left")
+    _missing(found.filter("symbol_name is not null and change_id is null"), "symbol_name", "no change for")
+    proof = links.groupBy("change_id").agg(F.sort_array(F.collect_list("evidence_id")).alias("proof"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("change_id").isNotNull(), F.struct("pos", "change_id", F.coalesce("proof", F.array().cast("array<string>")).alias("proof")))))
+    rows = found.join(proof, "change_id", "left").groupBy("query_id").agg(listed.alias("l"))
+    none = F.array().cast("array<string>")
+    out = rows.select("query_id", F.transform("l", lambda x: x["change_id"]).alias("required_change_ids"), F.flatten(F.transform("l", lambda x: x["proof"])).alias("relevant_evidence_ids"), none.alias("stability_evidence_ids"))
+    if facts is None:
+        return out
+    by_text = chunks.groupBy(stripped(F.col("text")).alias("said")).agg(F.max_by("chunk_id", F.struct("doc_ord", "ord")).alias("chunk_id"))
+    stable = facts.withColumn("said", stripped(F.col("fact"))).join(by_text, "said", "left")
+    _missing(stable.filter("chunk_id is null"), "fact", "no chunk with the text")
+    return out.unionByName(stable.select("query_id", none.alias("required_change_ids"), none.alias("relevant_evidence_ids"), F.array("chunk_id").alias("stability_evidence_ids")))
 
 
 def run(spark: SparkSession, docs: DataFrame, gold: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, mentions, text
-from ..operators import claims, evaluate, resolve, retrieve, store
+from ..operators import claims, evaluate, resolve, retrieve, store, vectors
 from ..sources import documents as sources
 from ..sources.tables import spread, table
+from . import benchmark
 
 CANDIDATES = retrieve.CANDIDATES
 
@@ -152,6 +153,68 @@ def section_bullet_chunks(spark, d):
     return found.select(F.col("doc_ord").alias("p_partkey"), F.col("ord").cast("long").alias("idx"), F.col("text").alias("chunk"), "version", F.array_join("symbols", ",").alias("symbols"))
 
 
+# Documents that say many things: every phrase, form of replacement, form of reference, heading and source type.
+
+#: Phrases and the changes that they name.
+_PHRASES = [("no longer accepts nulls", "SIGNATURE_CHANGED"), ("will no longer accept nulls", "SIGNATURE_CHANGED"), ("now requires a key", "SIGNATURE_CHANGED"), ("has a new parameter", "SIGNATURE_CHANGED"), ("has a new required parameter", "SIGNATURE_CHANGED"), ("has a changed signature", "SIGNATURE_CHANGED"), ("now returns lists", "BEHAVIOR_CHANGED"), ("now throws errors", "BEHAVIOR_CHANGED"), ("behavior changed", "BEHAVIOR_CHANGED"), ("behavior has changed", "BEHAVIOR_CHANGED"), ("was moved to another place", "MOVED"), ("was relocated", "MOVED"), ("is deprecated", "DEPRECATED"), ("was renamed", "RENAMED"), ("is now called otherwise", "RENAMED"), ("is now named otherwise", "RENAMED"), ("was removed", "REMOVED"), ("is no longer there", "BEHAVIOR_CHANGED")]
+_REPLACED = ["`Old.a_{k}()` was replaced by `New.b_{k}()`", "`Old.a_{k}` is deprecated in favor of `New.b_{k}`", "use `New.b_{k}` instead of `Old.a_{k}`", "`Old.a_{k}()` was moved to `New.b_{k}()`"]
+_REFERENCES = [" PR #{n}", " GH-{n}", " issue #{n}", " (#{n})", ""]
+
+
+def _pick(options: list[str], number, **values):
+    """One of the options by a number's remainder, with columns put in."""
+    out = F.get(F.array(*[F.lit(o) for o in options]), F.pmod(number, F.lit(len(options))).cast("int"))
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value.cast("string"))
+    return out
+
+
+def _varied_documents(spark, d):
+    """A document for each part: two sections, three bullets, a sentence; the source type goes by the key."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    head = F.when(k % 3 == 0, F.concat(F.lit("## v"), size, F.lit(".0.0\n\n"))).when(k % 3 == 1, F.concat(F.lit("# Release "), size, F.lit(".1\n\n"))).otherwise("")
+    one = F.concat(F.lit("- `"), F.col("spelled"), F.lit("` "), _pick([p for p, _ in _PHRASES], k), F.lit(" with the `size_"), k.cast("string"), F.lit("` parameter"), _pick(_REFERENCES, k, n=k), F.lit(".\n"))
+    two = F.concat(F.lit("* "), _pick(_REPLACED, k, k=k), F.when(k % 2 == 0, "; call the new one instead").otherwise(""), F.lit(".\n"))
+    three = F.concat(F.lit("- Plain words about `"), F.col("symbol"), F.lit("` only.\n"))
+    last = F.concat(F.lit("\n### 9.9 notes\n\nThe `Other.item_"), k.cast("string"), F.lit("()` call was removed. Nothing else.\n"))
+    no = F.lit(None).cast("string")
+    kind = _pick(_KINDS, k)
+    return sources.source_documents(_spoken(_parts(spark, d)).select(kind.alias("source_type"), F.concat(head, one, two, three, last).alias("raw_text"), F.concat(F.lit("local://"), k.cast("string")).alias("url"), no.alias("version"), no.alias("date"), F.when(k % 4 == 3, F.concat(F.lit("PR#"), k.cast("string"))).alias("reference"), k.alias("doc_ord")))
+
+
+def extract_claims_varied(spark, d):
+    found = claims.extract_claims(_varied_documents(spark, d), "pkg")
+    return found.select(F.col("doc_ord").alias("p_partkey"), F.col("claim_idx").cast("long").alias("claim_idx"), "symbol_name", "symbol_kind", "change_type", "version_to", "replacement_symbol", F.array_join("parameters", ",").alias("parameters"), "migration_action_text", F.array_join("external_refs", ",").alias("refs"), "extraction_method", "source_type")
+
+
+def chunks_varied(spark, d):
+    found = claims.chunks_of(_varied_documents(spark, d), "pkg")
+    return found.select(F.col("doc_ord").alias("p_partkey"), F.col("ord").cast("long").alias("idx"), F.col("text").alias("chunk"), "version", F.array_join("symbols", ",").alias("symbols"), "provenance")
+
+
+def _many_mentions(spark, d):
+    k = F.col("p_partkey")
+    more = F.concat(F.lit(" See Api.call_"), k.cast("string"), F.lit("() and `run_"), k.cast("string"), F.lit("()`; between 3."), (k % 7).cast("string"), F.lit(" and v4.0, in version "), (k % 9).cast("string"), F.lit(".1.2.x."))
+    return _spoken(_parts(spark, d)).withColumn("note", F.concat("note", more))
+
+
+def symbol_mentions_all(spark, d):
+    found = _many_mentions(spark, d).select("p_partkey", F.posexplode(mentions.symbols_in("pkg")("note")).alias("idx", "s"))
+    return found.select("p_partkey", F.col("idx").cast("long").alias("idx"), "s.raw", "s.name", "s.kind")
+
+
+def version_mentions_all(spark, d):
+    found = _many_mentions(spark, d).select("p_partkey", F.posexplode(mentions.versions_in("note")).alias("idx", "v"))
+    return found.select("p_partkey", F.col("idx").cast("long").alias("idx"), "v.normalized", "v.normalized_end", "v.qualifier", "v.precision")
+
+
+def pipeline_statistics(spark, d):
+    """Counts of a whole corpus build over one note for each part."""
+    docs = _note_documents(spark, d, F.col("note"))
+    return benchmark.statistics(docs, benchmark.build(docs, "pkg"))
+
+
 # Resolution.
 
 
@@ -174,9 +237,9 @@ def cannot_link_pairs(spark, d):
 
 def pairwise_score(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = _next_pairs(spark, d)
+    rows, n = _next_pairs(spark, d), vectors.count()
     for side in "ab":
-        rows = rows.join(vectors.select(F.col("vec_id").alias(f"{side}_vec"), F.col("v").alias(f"{side}_v")), F.col(f"{side}.doc_ord") % 500 == F.col(f"{side}_vec"))
+        rows = rows.join(vectors.select(F.col("vec_id").alias(f"{side}_vec"), F.col("v").alias(f"{side}_v")), F.col(f"{side}.doc_ord") % n == F.col(f"{side}_vec"))
     scored = rows.withColumns({"s": resolve.pair_score("a", "b", resolve.cosine(F.col("a_v"), F.col("b_v"))), "veto": resolve.cannot_link("a", "b")})
     said = resolve.decision(F.col("veto"), F.arrays_overlap("a.external_refs", "b.external_refs"), F.round("s.total", 6))
     return scored.select(F.col("a.doc_ord").alias("a_key"), F.col("b.doc_ord").alias("b_key"), F.round("s.total", 6).alias("total"), said["decision"].alias("decision"), said["method"].alias("method"), F.round(said["score"], 6).alias("score"))
@@ -189,8 +252,13 @@ def link_evidence(spark, d):
     return out.select("evidence_id", "change_id", "link_type", "confidence_tier", "link_method", "review_status", F.round("link_confidence", 6).alias("link_confidence"))
 
 
+def _contested(spark, d):
+    """Claims with vetoes, shared references and, as every fifth has no summary, unsure matches."""
+    return _claims(spark, d).withColumn("summary", F.when(F.col("doc_ord") % 5 == 0, "").otherwise(F.col("summary")))
+
+
 def link_evidence_general(spark, d):
-    out = resolve.link_evidence(_claims(spark, d))
+    out = resolve.link_evidence(_contested(spark, d))
     return out.select("kind", "evidence_id", "change_id", "link_type", "confidence_tier", "review_status", "other_change_id", "reason")
 
 
@@ -225,13 +293,6 @@ def _groups_of_five(docs):
     return docs.select(F.col("item_id").alias("source_document_id"), F.posexplode(text.line_groups(F.col("text"), 5)).alias("ord", "text")).withColumn("chunk_id", F.concat_ws("_", "source_document_id", "ord"))
 
 
-def owning_chunk(spark, d):
-    """The seventh line of each document that has one, as its SQL has it, found again in the document's groups of five lines; ``owning_chunk_lines`` takes every line."""
-    docs = _docs(spark, d)
-    found = docs.select(F.col("item_id").alias("source_document_id"), F.get(text.lines(F.col("text")), F.lit(6)).alias("raw_text")).filter("raw_text is not null").withColumns({"evidence_id": F.col("source_document_id"), "claim_idx": F.lit(0)})
-    return store.owning_chunks(found, _groups_of_five(docs)).select(F.col("evidence_id").alias("doc_id"), "chunk_id")
-
-
 def owning_chunk_lines(spark, d):
     """Every line of every document found again in the document's groups of five lines."""
     docs = _docs(spark, d)
@@ -239,6 +300,37 @@ def owning_chunk_lines(spark, d):
     return store.owning_chunks(found, _groups_of_five(docs)).select(F.col("evidence_id").alias("doc_id"), F.col("claim_idx").cast("long"), "chunk_id")
 
 
+def decode_records(spark, d):
+    """Change rows whose lists come as JSON text, read as records."""
+    k = F.col("p_partkey")
+    rows = _parts(spark, d).select(F.concat(F.lit("chg_"), k.cast("string")).alias("change_id"), F.col("symbol").alias("symbol_name"), F.lit("pkg").alias("symbol_package"), F.when(k % 2 == 0, "method").alias("symbol_kind"), F.to_json(F.array(F.concat(F.lit("#"), (k % 7).cast("string")), F.lit('q"\\'))).alias("external_refs"), F.when(k % 3 == 0, '["a","b"]').otherwise("[]").alias("parameters"))
+    whole = rows.select("*", *[F.lit(None).cast("string").alias(f.name) for f in store.schema("change_records").fields if f.name not in rows.columns])
+    return store.decoded(whole, "change_records").select("change_id", "symbol.name", "symbol.package", "symbol.kind", F.array_join("external_refs", "|").alias("refs"), F.size("parameters").cast("long").alias("n_parameters"))
+
+
+def links_of_change(spark, d):
+    """Line items as links: those of one part, and those of one order."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_partkey").alias("change_id"), "l_linenumber")
+    return store.find(rows, change_id=7).withColumn("asked", F.lit("change")).unionByName(store.find(rows, evidence_id=7).withColumn("asked", F.lit("evidence")))
+
+
+def vector_metadata(spark, d):
+    """Documents as chunks of a collection: default ids and flat metadata, found by equality."""
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(k, F.lit("notes.v1.md").alias("name"), F.concat(F.lit("doc_"), k.cast("string")).alias("source_document_id"), F.lit("RELEASE_NOTE").alias("source_type"), F.when(k % 4 != 0, F.concat(F.lit("p"), (k % 3).cast("string"))).alias("package"), F.when(k % 3 != 0, F.concat((k % 5).cast("string"), F.lit(".0"))).alias("version"), F.array(F.lit("A.b"), F.concat(F.lit("C."), "lang")).alias("symbols"))
+    flat = rows.select("doc_id", vectors.default_id(F.col("name"), k).alias("id"), *[v.alias(m) for m, v in vectors.metadata(rows).items()])
+    return vectors.where(flat, package="p1", version="").unionByName(vectors.where(flat, package=""))
+
+
+def gold_set(spark, d):
+    """Gold rows of a query for each brand: the last change of each of its symbols, and the evidence of those."""
+    rows = _claims(spark, d).select("symbol_name", F.substring_index("symbol_name", ".", 1).alias("brand"), F.concat(F.lit("chg_"), F.lpad(F.col("doc_ord").cast("string"), 9, "0")).alias("change_id"), "doc_ord")
+    links = rows.select("change_id", F.explode(F.array(F.concat(F.lit("ev_"), F.col("doc_ord").cast("string")), F.concat(F.lit("ev_b"), F.col("doc_ord").cast("string")))).alias("evidence_id"))
+    wanted = rows.groupBy(F.col("brand").alias("query_id")).agg(F.sort_array(F.collect_set("symbol_name")).alias("symbols"))
+    out = benchmark.gold_rows(wanted, rows, links, "doc_ord")
+    return out.select("query_id", F.array_join("required_change_ids", ",").alias("changes"), F.array_join("relevant_evidence_ids", ",").alias("evidence"), F.size("stability_evidence_ids").cast("long").alias("n_stable"))
+
+
 def link_labels(spark, d):
     k = F.col("p_partkey")
     tier = F.get(F.array(*[F.lit(t) for t in ids.TIER_TEXT]), (k % 3).cast("int"))
@@ -355,10 +447,55 @@ def aggregate_modes(spark, d):
     return evaluate.summary(_modes(spark, d), "mode")
 
 
+def _hard_gold(near, far):
+    """Queries that one ranking answers, or the other, or only both together, or none; or that ask for something further down."""
+    at = lambda ranking, rank, name: ranking.filter(F.col("rank") == rank).select("query_id", F.col("item_id").alias(name))
+    q = F.col("query_id")
+    required = F.when(q % 5 == 0, F.array("d1")).when(q % 5 == 1, F.array("s1")).when(q % 5 == 2, F.array("d1", "s1")).when(q % 5 == 3, F.array(F.lit(-1).cast("long"))).otherwise(F.array("d8"))
+    return at(near, 1, "d1").join(at(far, 1, "s1"), "query_id").join(at(near, 8, "d8"), "query_id").select("query_id", required.alias("required"))
+
+
+def _hard_results(spark, d):
+    near, far = _both(spark, d)
+    gold, out = _hard_gold(near, far), None
+    for mode, ranking in (("dense", near), ("sparse", far), ("hybrid", retrieve.hybrid(near, far))):
+        one = evaluate.evaluated(gold, evaluate.listed(ranking.filter(F.col("rank") <= 10), "item_id")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def failure_quadrant(spark, d):
-    """Recall of at least one required item in the first five stands for full recall here, as labels have many vectors."""
-    found = _modes(spark, d).withColumn("recall_at_5", F.when(F.col("mrr") >= 0.2, 1.0).otherwise(0.0))
-    return evaluate.quadrants(found)
+    return evaluate.quadrants(_hard_results(spark, d))
+
+
+def failing_queries(spark, d):
+    return evaluate.failing(_hard_results(spark, d).withColumnRenamed("mode", "retrieval_mode"))
+
+
+def diagnose_ranks(spark, d):
+    near, far = _both(spark, d)
+    gold = _hard_gold(near, far)
+    own = gold.select(F.explode("required").alias("item")).distinct().select(F.col("item").alias("item_id"), "item")
+    return evaluate.diagnosis({"dense": near, "sparse": far, "hybrid": retrieve.hybrid(near, far, CANDIDATES)}, own, gold)
+
+
+def ablation_modes(spark, d):
+    """Mean metrics of the fusion weights and of reranking all candidates, over documents' texts."""
+    near, far = _both(spark, d)
+    gold, out = _hard_gold(near, far), None
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    pool = retrieve.hybrid(near, far, CANDIDATES).drop("score").join(asked, "query_id").join(_docs(spark, d), "item_id")
+    ranked = {mode: retrieve.hybrid(near, far, weights=weights) for mode, weights in benchmark.WEIGHTS.items()} | {"hybrid_reranked": retrieve.rerank(pool, 10)}
+    for mode, ranking in ranked.items():
+        one = evaluate.evaluated(gold, evaluate.listed(ranking, "item_id")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return evaluate.summary(out, "mode")
+
+
+def gold_counts(spark, d):
+    k = F.col("item_id")
+    gold = table(spark, d, "benchmark").select(k.alias("query_id"), _pick(["exact_symbol", "negative", "multi_change"], k).alias("query_type"), F.when(k % 3 == 1, "stability").otherwise("change_retrieval").alias("evaluation_scope"))
+    return evaluate.counts(gold)
 
 
 def resolve_items(spark, d):
@@ -382,7 +519,7 @@ def stream_event_link(spark, d):
     from uuid import uuid4
 
     root = place or f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid4().hex}"
-    rows = _claims(spark, d)
+    rows = _contested(spark, d)
     rows.write.parquet(f"{root}/claims")
     stream = link_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/claims"))
     query = stream.writeStream.format("parquet").option("path", f"{root}/links").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
@@ -390,5 +527,5 @@ def stream_event_link(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{root}/links").groupBy("link_type", "review_status").agg(F.count("*").alias("n"))
 
 
-NAMES = "bm25_topk term_stats doc_stats fixed_line_chunks sentence_split paragraph_chunks content_ids source_documents symbol_normalize symbol_mentions version_mentions version_overlap change_type_classify extract_claims conjunction_claims replacement_claims section_bullet_chunks cannot_link_pairs pairwise_score link_evidence link_evidence_general blocking_candidates cannot_link_upsert store_integrity store_absent repeated_keys owning_chunk owning_chunk_lines link_labels dense_topk sparse_filtered dense_filtered rrf_fuse rrf_weighted hybrid_topk hybrid_version_filtered rerank_stub prompt_render eval_metrics metrics_by_type aggregate_modes failure_quadrant resolve_items rank_trace stream_event_link".split()
+NAMES = "bm25_topk term_stats doc_stats fixed_line_chunks sentence_split paragraph_chunks content_ids source_documents symbol_normalize symbol_mentions version_mentions version_overlap change_type_classify extract_claims conjunction_claims replacement_claims section_bullet_chunks extract_claims_varied chunks_varied symbol_mentions_all version_mentions_all pipeline_statistics cannot_link_pairs pairwise_score link_evidence link_evidence_general blocking_candidates cannot_link_upsert store_integrity store_absent repeated_keys owning_chunk_lines decode_records links_of_change vector_metadata gold_set link_labels dense_topk sparse_filtered dense_filtered rrf_fuse rrf_weighted hybrid_topk hybrid_version_filtered rerank_stub prompt_render eval_metrics metrics_by_type aggregate_modes failure_quadrant failing_queries diagnose_ranks ablation_modes gold_counts resolve_items rank_trace stream_event_link".split()
 QUERIES = {name: globals()[name] for name in NAMES}

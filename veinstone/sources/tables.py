@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import sound
+
 #: A table of up to this many bytes may be one row group and so one task; moving it once is cheaper than that.
 SMALL_BYTES = 256 << 20
 
@@ -15,4 +17,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sound(spark).read.parquet(f"{sf_dir}/{name}.parquet")
