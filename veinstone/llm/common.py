@@ -10,13 +10,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import sound
+
 #: A word is a run of anything but these (space and 0x09 to 0x0D).
 SPACES = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACES}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return sound(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,7 +77,7 @@ class Sealed:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: later stages survive lost executors without recomputing all before."""
-    shared_folder(df.sparkSession)
+    shared_folder(sound(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
