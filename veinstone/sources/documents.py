@@ -6,22 +6,30 @@ import hashlib
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from . import pdf
 
 #: Fixed provenance texts by source type.
 PROVENANCE = {"RELEASE_NOTE": "release note", "MIGRATION_GUIDE": "migration guide", "OFFICIAL_DOCS": "official docs", "GITHUB_PR_ISSUE": "github pr/issue"}
 
 
-def read_lines(spark: SparkSession, path: str, parse_pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """(path, line_no, line): stripped, non-blank lines of .txt files, or of .pdf files by a parser that gives the pages' texts."""
+def read_lines(spark: SparkSession, path: str, parse_pdf: Callable[[bytes], list[str]] = pdf.pages) -> DataFrame:
+    """(path, line_no, line): stripped, non-blank lines of .txt files, or of .pdf files by a parser that gives the pages' texts.
+
+    Files are read and parsed where the rows are, some at a time."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "txt":
         whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    elif kind == "pdf" and parse_pdf:
-        read = F.udf(lambda data: "\n".join(parse_pdf(bytes(data))), "string")
+    elif kind == "pdf":
+
+        @F.pandas_udf("string")
+        def read(files: pd.Series) -> pd.Series:
+            return files.map(lambda data: "\n".join(parse_pdf(bytes(data))))
+
         whole = spark.read.format("binaryFile").load(path).select("path", read("content").alias("text"))
     else:
         raise ValueError(f"unsupported format: {path}")
