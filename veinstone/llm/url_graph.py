@@ -26,12 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sealed, cut, table
+from .common import Sealed, cut, let, table
 
 #: Fixed rules: verdict and rule (host and path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 MOST_RULES = 500
 DAMPING, ROUNDS, SETTLED, FAMILY, LEAST_SHARE = 0.85, 29, 1e-9, 1.0, 0.5
+#: With up to this many edges the scores (two for a host at most) go to all executors in each step, else steps are joined by a shuffle.
+BROADCAST_EDGES = 2_000_000
+#: Edges of a partition.
+TASK_EDGES = 200_000
 #: IP addresses, which are not subdomains of anything.
 _ADDRESS = r"^(\[|[0-9]+(\.[0-9]+){3}(:|$))"
 #: Attributes that hold links, and ``url`` as in a refresh.
@@ -72,16 +76,18 @@ def linked_hosts(html: Column) -> Column:
     """array<string>: the host of every link of a page that names one, by itself or by the page's base."""
     page = F.coalesce(html, F.lit(""))
     links = F.regexp_extract_all(page, F.lit(f"(?i)\\b(?:{'|'.join(ATTRIBUTES)})\\s*=\\s*[\"']?\\s*([^\"'\\s>]+)"), F.lit(1))
-    base = host_of(F.concat(F.lit("x:"), F.regexp_extract(page, "(?i)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?(//[^\"'\\s>]+)", 1)))
-    plain = ~F.contains(F.lower(page), F.lit("<base"))
-    absolute = lambda x: F.when(x.rlike("(?i)^https?://"), host_of(x)).when(F.startswith(x, F.lit("//")), host_of(F.concat(F.lit("x:"), x)))
-    named = lambda x: F.when(plain | x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), F.lit("")).otherwise(base)
-    return F.filter(F.transform(links, lambda x: F.coalesce(absolute(x), named(x))), lambda x: x != "")
+    base = F.when(page.rlike("(?i)<base\\b"), host_of(F.concat(F.lit("x:"), F.regexp_extract(page, "(?i)<base\\b[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?(//[^\"'\\s>]+)", 1)))).otherwise("")
+    absolute = lambda x: F.when(F.startswith(x, F.lit("//")), host_of(F.concat(F.lit("x:"), x))).when(x.rlike("(?i)^https?://"), host_of(x))
+    relative = lambda x, own: F.when((own == "") | x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^#"), F.lit("")).otherwise(own)
+    # The base is found once for a page, and links are only looked at again if they can name a host.
+    named = lambda x, own: F.when(F.contains(x, F.lit("//")) | (own != ""), F.coalesce(absolute(x), relative(x, own))).otherwise("")
+    return let(base, lambda own: F.filter(F.transform(links, lambda x: named(x, own)), lambda x: x != ""))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight) between different hosts of ``pages`` (host, html)."""
+    """(src, dst, weight) between different hosts of ``pages`` (host, html); all html is read once."""
     seen = pages.filter("host != ''").select(F.col("host").alias("src"), F.explode(linked_hosts(F.col("html"))).alias("dst")).filter("src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    seen = cut(seen)
     hosts = pages.filter("host != ''").select("host").union(seen.select("dst")).distinct()
     labels = F.size(F.split("host", "\\."))
     steps = hosts.filter((labels > 2) & ~F.col("host").rlike(_ADDRESS)).select("host", F.explode(F.sequence(F.lit(3), labels)).alias("n"))
@@ -92,19 +98,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust) after ``rounds`` steps from seeds (host, trusted, blocked), whose columns each sum to 1 or 0."""
+    edges = cut(edges)
+    many = edges.count()
+    few, tasks = many <= BROADCAST_EDGES, -(-many // TASK_EDGES) or 1
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("into"))
     whole = edges.join(out, "src").join(into, "dst")
     along = whole.select(F.col("src").alias("at"), F.lit(True).alias("good"), F.col("dst").alias("to"), (F.col("weight") / F.col("out") * damping).alias("share"))
     against = whole.select(F.col("dst").alias("at"), F.lit(False).alias("good"), F.col("src").alias("to"), (F.col("weight") / F.col("into") * damping).alias("share"))
-    steps = cut(along.union(against))
-    start = cut(seeds.select(F.col("host").alias("at"), F.lit(True).alias("good"), (F.col("trusted") * (1 - damping)).alias("score")).union(seeds.select("host", F.lit(False), F.col("blocked") * (1 - damping))).filter("score > 0"))
+    # As many partitions as the graph asks for, so that a step is not mostly empty files.
+    steps = cut(along.union(against).coalesce(tasks))
+    start = cut(seeds.select(F.col("host").alias("at"), F.lit(True).alias("good"), (F.col("trusted") * (1 - damping)).alias("score")).union(seeds.select("host", F.lit(False), F.col("blocked") * (1 - damping))).filter("score > 0").coalesce(tasks))
     scores, total = start, None
     for k in range(rounds):
-        moved = steps.join(scores, ["at", "good"]).select(F.col("to").alias("at"), "good", (F.col("score") * F.col("share")).alias("score"))
+        moved = steps.join(F.broadcast(scores) if few else scores, ["at", "good"]).select(F.col("to").alias("at"), "good", (F.col("score") * F.col("share")).alias("score"))
         scores = moved.union(start).groupBy("at", "good").agg(F.sum("score").alias("score"))
         if k % 4 == 3 or k == rounds - 1:
-            scores = cut(scores)
+            scores = cut(scores.coalesce(tasks))
             before, total = total, scores.agg(F.coalesce(F.sum("score"), F.lit(0.0))).head()[0]
             if before is not None and total - before <= settled * total:
                 break  # the sum only grows, by what is still on the way
