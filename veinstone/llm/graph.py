@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Edges of a partition: as many partitions as the graph asks for, so that a round is not mostly empty files.
+TASK_EDGES = 500_000
+
+
 def _stamp(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40)).alias("s")).head()
     return row["n"], row["s"]
@@ -22,6 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(now)
     for _ in range(most_rounds):
+        now = now.coalesce(-(-stamp[0] // TASK_EDGES) or 1)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
