@@ -22,9 +22,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import Sealed, table
 
 UNIT = 64
 RATE = 8000
@@ -129,7 +128,8 @@ def media_columns(docs: DataFrame, with_codes: bool = True, with_media: bool = T
     """``docs`` (doc_id, text) -> sizes, digests, a short form of the fingerprint, and the fingerprint and the stored WAV if asked for."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     schema += ", fingerprint array<long>" * with_codes + ", media binary" * with_media
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_made(with_codes, with_media), schema)
+    sealed = Sealed(docs)
+    return sealed.df.select(sealed.of("doc_id").cast("long").alias("doc_id"), sealed.of("text").alias("text")).mapInArrow(_made(with_codes, with_media), schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

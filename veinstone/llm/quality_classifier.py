@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Sealed, table
 
 BITS = 18
 GRADES = 3
@@ -124,6 +124,12 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["doc_id", "grade", "places", "shape"])
 
 
+def narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``, whatever their other columns are called."""
+    sealed = Sealed(docs)
+    return sealed.df.select(sealed.of("doc_id").cast("long").alias("doc_id"), sealed.of("text").alias("text"))
+
+
 def sample(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 6) -> DataFrame:
     """(doc_id, text, grade) of up to ``sample_rows`` of the rated (doc_id, grade) that are in ``docs`` (doc_id, text), one row for a doc_id.
 
@@ -138,8 +144,7 @@ def sample(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, se
 
 def trained(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 6) -> Model:
     """The model of the sample; ``sample_rows`` bounds what reaches the driver."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = sample(docs, rated, sample_rows, seed).mapInArrow(_sampled, "doc_id long, grade int, places array<int>, shape array<double>").toArrow().sort_by("doc_id")
+    rows = sample(narrow(docs), rated, sample_rows, seed).mapInArrow(_sampled, "doc_id long, grade int, places array<int>, shape array<double>").toArrow().sort_by("doc_id")
     places = [np.asarray(x.values, np.int64) for x in rows["places"]]
     shapes = np.array(rows["shape"].to_pylist(), np.float64).reshape(-1, SHAPE)
     return fit(places, shapes, rows["grade"].to_numpy())
@@ -166,7 +171,7 @@ def graded(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL) -> Dat
             tail = p[:, -1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((p * np.arange(GRADES)).sum(axis=1).round(6)), pa.array(tail.round(6)), pa.array(tail >= least_tail)], ["doc_id", "expected_grade", "p_best", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_best double, kept boolean")
+    return narrow(docs).mapInArrow(run, "doc_id long, expected_grade double, p_best double, kept boolean")
 
 
 def rating(labels: DataFrame) -> DataFrame:
