@@ -4,7 +4,7 @@ The field labels whole segments of up to ``MOST_CHUNKS`` chunks with a kind, or
 characters other than white space and separators (``:=,;`` quotes and the like). A segment's score is a weight vector per
 kind times features of the whole span (digits, grouping, checksum, separators, spelled-out marks, the words around it),
 plus a transition weight from the label before. Dynamic programming over bounded segments picks boundaries and kinds
-jointly; training maximises the likelihood of seeded, made-up sentences with the same recursion in sums (forward and
+jointly (chunks of a segment are at most ``MOST_GAP`` white-space characters apart); training maximises the likelihood of seeded, made-up sentences with the same recursion in sums (forward and
 backward). Besides the four kinds of the base patterns the field labels secrets (keys, tokens, passwords): ``redact``
 replaces them too, the spans of ``find`` hold the four kinds only.
 
@@ -40,7 +40,10 @@ from .common import Sealed, table
 KINDS = ("email", "ip", "card", "phone")
 #: What the field labels.
 LABELS = (*KINDS, "secret")
-MOST_CHUNKS = 12
+#: A segment has so many chunks at most, and so many white-space characters between two of them.
+MOST_CHUNKS, MOST_GAP = 12, 8
+#: A number has so many chunks with digits at most.
+MOST_GROUPS = 7
 #: Chunks that are decoded at once, for bounded memory; the result doesn't depend on it.
 PIECE = 4096
 TRAINING_SENTENCES, EPOCHS, SEED = 1000, 5, 2
@@ -112,17 +115,13 @@ ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "f
 
 
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """The span without what only borders on it: punctuation, and brackets without their other half."""
-    while start < end:
-        inside = text[start:end]
-        first, last = inside[0], inside[-1]
-        if first in _EDGES or first == "." or (first in "([{" and not any(x in inside for x in ")]}")):
-            start += 1
-        elif last in _EDGES or last in ".-–" or (last in ")]}" and not any(x in inside for x in "([{")):
-            end -= 1
-        else:
-            break
-    return start, end
+    """The span without what only borders on it: punctuation, and brackets where there are none of their other half."""
+    span = text[start:end]
+    left = _EDGES + "." + ("" if any(x in span for x in ")]}") else "([{")
+    right = _EDGES + ".-–" + ("" if any(x in span for x in "([{") else ")]}")
+    inner = span.lstrip(left)
+    start += len(span) - len(inner)
+    return start, start + len(inner.rstrip(right))
 
 
 def _around(words: list[str], side: str) -> list[str]:
@@ -198,7 +197,7 @@ def lattice(text: str, chunks: list[Chunk], before: tuple[str, ...] = (), lead:
     numbers = [hot == 1 and _NUMBER.fullmatch(x) is not None for x, (_, _, hot) in zip(inner, chunks, strict=True)]
     gaps = [hot >= 0 and _GAP.fullmatch(w) is not None or _HAS_DOT.fullmatch(w) is not None for w, (_, _, hot) in zip(whole, chunks, strict=True)]
     count = [sum("0" <= c <= "9" for c in x) if number else 0 for x, number in zip(inner, numbers, strict=True)]
-    spaced = [i > 0 and text[chunks[i - 1][1] : chunks[i][0]].isspace() for i in range(n)]
+    spaced = [i > 0 and 0 < chunks[i][0] - chunks[i - 1][1] <= MOST_GAP and text[chunks[i - 1][1] : chunks[i][0]].isspace() for i in range(n)]
 
     def add(i: int, j: int, make) -> None:
         start, end = trimmed(text, chunks[i][0], chunks[j - 1][1])
@@ -214,12 +213,12 @@ def lattice(text: str, chunks: list[Chunk], before: tuple[str, ...] = (), lead:
 
     for i in range(lead, n):
         if numbers[i]:
-            total = 0
+            total = groups = 0
             for j in range(i, min(i + MOST_CHUNKS, n)):
                 if not (numbers[j] or gaps[j]) or (j > i and not spaced[j]):
                     break
-                total += count[j]
-                if total > 19:
+                total, groups = total + count[j], groups + numbers[j]
+                if total > 19 or groups > MOST_GROUPS:
                     break
                 if numbers[j] and (total >= 7 or total >= 4 and (j > i or "[" in inner[i] or "(" in inner[i] or "{" in inner[i])):
                     add(i, j + 1, number_features)
@@ -227,15 +226,16 @@ def lattice(text: str, chunks: list[Chunk], before: tuple[str, ...] = (), lead:
             add(i, i + 1, key_features)
     closed = [hot < 0 for _, _, hot in chunks]
     dots = [bool(_HAS_DOT.search(w)) or w.lower() == "dot" for w in whole]
+    ats = [w.lower() == "at" or "@" in w or _HAS_AT.search(w) is not None for w in whole]
     for a, w in enumerate(whole):
         bare = w.lower() == "at"
-        if closed[a] or not (bare or "@" in w or _HAS_AT.search(w)) or (bare and not any(dots[max(0, a - MOST_CHUNKS) : a + MOST_CHUNKS])):
+        if closed[a] or not ats[a] or (bare and not any(dots[max(0, a - MOST_CHUNKS) : a + MOST_CHUNKS])):
             continue
         for i in range(a, max(lead - 1, a - MOST_CHUNKS), -1):
-            if closed[i] or (i < a and not spaced[i + 1]):
+            if closed[i] or (i < a and (ats[i] or not spaced[i + 1])):
                 break
             for j in range(a + 1, min(i + MOST_CHUNKS, n) + 1):
-                if closed[j - 1] or (j - 1 > a and not spaced[j - 1]):
+                if closed[j - 1] or (j - 1 > a and (ats[j - 1] or not spaced[j - 1])):
                     break
                 add(i, j, spelled_features)
     return out
@@ -336,19 +336,20 @@ class Field:
         best = np.full((n + 1, len(LABELS) + 1), -np.inf)
         best[0] = [0.0] + [-np.inf] * len(LABELS) if first is None else first
         back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, n + 1):
-            for i in range(max(0, j - MOST_CHUNKS), j):
-                s = scores.get((i, j))
-                if s is None and i < j - 1:
-                    continue
-                come = best[i][:, None] + self.moves
-                for y in range(len(LABELS) + 1) if s is not None else (0,):
-                    if y == 0 and i < j - 1:
-                        continue
-                    x = int(come[:, y].argmax())
-                    total = come[x, y] + (s[y - 1] if y else 0)
-                    if total > best[j, y]:
-                        best[j, y], back[j, y] = total, (i, x)
+        stops: dict[int, list[int]] = {}
+        for i, j in sorted(scores):
+            stops.setdefault(j, []).append(i)
+        entering, through = np.empty_like(best), np.empty(best.shape, np.int64)  # the best way into a label from each place, and the label before
+        for j in range(n + 1):
+            if j:
+                best[j, 0], back[j, 0] = entering[j - 1, 0], (j - 1, int(through[j - 1, 0]))
+                for i in stops.get(j, ()):
+                    total = entering[i, 1:] + scores[i, j]
+                    for y in np.flatnonzero(total > best[j, 1:]).tolist():
+                        best[j, y + 1], back[j, y + 1] = total[y], (i, int(through[i, y + 1]))
+            come = best[j][:, None] + self.moves
+            through[j] = come.argmax(axis=0)
+            entering[j] = come.max(axis=0)
         open_ends = {(n, int(best[n].argmax()))} if ends else {(j, int(y)) for j in range(max(0, n - MOST_CHUNKS + 1), n + 1) for y in np.flatnonzero(best[j] > -np.inf)}
         while len(open_ends) > 1:  # the last goes back until all have met, at the start if not before
             last = max(open_ends)
