@@ -123,9 +123,15 @@ def fold(embed: Embedder, compatible: tuple[tuple[str, str], ...] = (), weights:
         by_version: dict[str, list[dict]] = {}
         out: list[dict] = []
         number = 0
+        judged: dict[tuple, tuple] = {}
         for r in rows:
             refs, sure, unsure, vetoed = set(_list(r["external_refs"])), [], [], []
-            wanted = by_version.values() if not r["version_to"] else [by_version.get(r["version_to"], []), by_version.get("", [])]
+            alike = (r["version_to"] or "", r["change_type"], frozenset(refs), r["summary"])
+            if alike in judged and judged[alike][0] == number:  # no change since a claim that says the same
+                _, sure, unsure, vetoed = judged[alike]
+                wanted = []
+            else:
+                wanted = by_version.values() if not r["version_to"] else [by_version.get(r["version_to"], []), by_version.get("", [])]
             for c in sorted((c for held in wanted for c in held), key=lambda c: c["number"]):
                 theirs = set(_list(c["external_refs"]))
                 if refs and theirs and not refs & theirs:
@@ -143,6 +149,7 @@ def fold(embed: Embedder, compatible: tuple[tuple[str, str], ...] = (), weights:
                         sure.append((c, "INFERRED_HIGH_CONFIDENCE", total, "PAIRWISE_RESOLUTION", said))
                     elif total >= POSSIBLE:
                         unsure.append((c, "AMBIGUOUS", total, "PAIRWISE_RESOLUTION", said))
+            judged[alike] = number, sure, unsure, vetoed
             link = {"evidence_id": r["evidence_id"], "kind": "link"}
             if sure or unsure:
                 review = "UNREVIEWED" if len(sure) == 1 and not unsure else "NEEDS_REVIEW"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, mentions, text
 from ..operators import claims, evaluate, resolve, retrieve, store, vectors
+from ..session import remove, work_folder
 from ..sources import documents as sources
 from ..sources.tables import spread, table
+from ..streaming.linker import link_stream
 from . import benchmark
 
 CANDIDATES = retrieve.CANDIDATES
@@ -510,21 +512,18 @@ def rank_trace(spark, d):
 
 
 def stream_event_link(spark, d):
-    """Link counts of the claims replayed as a stream of one batch."""
-    import tempfile
-
-    from ..streaming.linker import link_stream
-
-    place = tempfile.mkdtemp(prefix="veinstone-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else None
-    from uuid import uuid4
-
-    root = place or f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid4().hex}"
-    rows = _contested(spark, d)
-    rows.write.parquet(f"{root}/claims")
-    stream = link_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/claims"))
-    query = stream.writeStream.format("parquet").option("path", f"{root}/links").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/links").groupBy("link_type", "review_status").agg(F.count("*").alias("n"))
+    """Link counts of the claims replayed as a stream of one batch: a row for each type and state of review."""
+    root = work_folder(spark, "stream")
+    try:
+        rows = _contested(spark, d)
+        rows.write.parquet(f"{root}/claims")
+        stream = link_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/claims"))
+        query = stream.writeStream.format("parquet").option("path", f"{root}/links").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        found = spark.read.schema(stream.schema).parquet(f"{root}/links").groupBy("link_type", "review_status").agg(F.count("*").alias("n"))
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        remove(spark, root)
 
 
 NAMES = "bm25_topk term_stats doc_stats fixed_line_chunks sentence_split paragraph_chunks content_ids source_documents symbol_normalize symbol_mentions version_mentions version_overlap change_type_classify extract_claims conjunction_claims replacement_claims section_bullet_chunks extract_claims_varied chunks_varied symbol_mentions_all version_mentions_all pipeline_statistics cannot_link_pairs pairwise_score link_evidence link_evidence_general blocking_candidates cannot_link_upsert store_integrity store_absent repeated_keys owning_chunk_lines decode_records links_of_change vector_metadata gold_set link_labels dense_topk sparse_filtered dense_filtered rrf_fuse rrf_weighted hybrid_topk hybrid_version_filtered rerank_stub prompt_render eval_metrics metrics_by_type aggregate_modes failure_quadrant failing_queries diagnose_ranks ablation_modes gold_counts resolve_items rank_trace stream_event_link".split()
