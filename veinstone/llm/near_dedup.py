@@ -48,7 +48,7 @@ BROADCAST_IDS = 2_000_000
 #: Buckets up to this many nodes are compared as pairs of rows, larger ones in blocks.
 SMALL = 16
 #: A block holds about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 250_000, 512
+BLOCK_SHINGLES, BLOCK_NODES = 250_000, 256
 #: Narrow rows of a partition.
 TASK_ROWS = 10_000
 #: What names a row's text without moving it.
@@ -142,6 +142,12 @@ def same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def fitted(rows: DataFrame) -> DataFrame:
+    """Narrow ``rows``, cut, in as many partitions as they ask for: what follows is then not mostly empty tasks."""
+    rows = cut(rows)
+    return rows.coalesce(-(-rows.count() // TASK_ROWS) or 1)
+
+
 def bounded(rows: DataFrame) -> DataFrame:
     """``rows`` (cut), to be sent to all executors if they are few enough; more are joined by a shuffle."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
@@ -156,7 +162,7 @@ def sets_of(texts: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame
 
 def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose full sets are similar enough; the sets are made once."""
-    pairs = cut(pairs)
+    pairs = fitted(pairs)
     sets = cut(sets_of(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     left, right = sets.select(F.col("node").alias("a"), F.col("found").alias("x")), sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     n, m = F.size("x"), F.size("y")
@@ -217,7 +223,7 @@ def _in_blocks(texts: DataFrame, classes: DataFrame, rest: DataFrame, percent: i
     shape = by_label.groupBy("band").agg(F.max(F.struct("c", "s", "label")).alias("top"), F.sum("c").alias("members"), F.sum("s").alias("total"))
     parts = lambda total, members: F.greatest(F.ceil(total / BLOCK_SHINGLES), F.ceil(members / BLOCK_NODES), F.lit(1)).cast("long")
     shape = shape.select("band", F.col("top.label").alias("main"), parts(F.col("total"), F.col("members")).alias("blocks"), parts(F.col("total") - F.col("top.s"), F.col("members") - F.col("top.c")).alias("asks"))
-    placed = rest.join(cut(shape), "band").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "ask": F.pmod(F.xxhash64(F.lit(1), "node"), "asks"), "stranger": F.col("label") != F.col("main")})
+    placed = rest.join(bounded(cut(shape)), "band").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "ask": F.pmod(F.xxhash64(F.lit(1), "node"), "asks"), "stranger": F.col("label") != F.col("main")})
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     held = placed.select("band", "block", numbers("asks").alias("ask"), "node", "label", F.lit(False).alias("stranger"))
     asked = placed.filter("stranger").select("band", numbers("blocks").alias("block"), "ask", "node", "label", "stranger")
@@ -228,31 +234,31 @@ def _in_blocks(texts: DataFrame, classes: DataFrame, rest: DataFrame, percent: i
 def classified(sealed: Sealed, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Rows (``NAME``, n_shingles, digest), and (digest, label, component_id) of the classes of equal sets."""
     texts = named(sealed).select(*NAME, "whole")
-    meta = cut(texts.mapInArrow(_sketched, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"))
-    meta = meta.coalesce(-(-meta.count() // TASK_ROWS) or 1)  # narrow rows: small partitions of texts are merged
+    meta = fitted(texts.mapInArrow(_sketched, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NAME)).alias("at")
     classes = meta.filter("digest is not null").groupBy("digest").agg(first)
-    classes = cut(classes.select("digest", "at.doc_id", "at.text_hash").withColumn("node", F.monotonically_increasing_id()))
+    classes = fitted(classes.select("digest", "at.doc_id", "at.text_hash").withColumn("node", F.monotonically_increasing_id()))
     nodes = meta.filter("digest is not null").groupBy("digest").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).join(classes.select("digest", "node"), "digest")
+    nodes = fitted(nodes.select("node", "n", "bands"))
     spread = nodes.select(F.explode("bands").alias("band"), "node", "n")
     # What is summed up by band or label is cut before it is joined: only so can the join split a hot one.
     hubs = cut(spread.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last"))
-    shared = cut(spread.join(hubs.select("band", "hub"), "band"))
-    links = cut(verified(texts, classes, shared.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), percent))
+    shared = fitted(spread.join(bounded(hubs.select("band", "hub")), "band"))
+    links = fitted(verified(texts, classes, shared.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), percent))
     # What shares a bucket and is not yet known to be connected.
     known = components(links)
-    placed = cut(shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    placed = fitted(shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
     unsettled = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
-    rest = cut(placed.join(cut(unsettled.select("band", "members")), "band"))
+    rest = fitted(placed.join(bounded(cut(unsettled.select("band", "members"))), "band"))
     side = lambda s: rest.filter(F.col("members") <= SMALL).select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label", "hub")])
     close = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     fresh = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") != F.col("hub_a"))
     pairs = side("a").join(side("b"), "band").filter(fresh & close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = cut(verified(texts, classes, pairs, percent).union(_in_blocks(texts, classes, rest.filter(F.col("members") > SMALL).select("band", "node", "n", "label"), percent)))
+    more = fitted(verified(texts, classes, pairs, percent).union(_in_blocks(texts, classes, rest.filter(F.col("members") > SMALL).select("band", "node", "n", "label"), percent)))
     final = components(links.union(more)) if more.limit(1).count() else known
     of_all = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_all.filter("label != node").select("label").distinct().join(of_all, "label").groupBy("label").agg(F.min("doc_id").alias("least"))
-    joined = of_all.join(cut(least), "label", "left")
+    joined = of_all.join(bounded(cut(least)), "label", "left")
     return meta.drop("bands"), joined.select("digest", "label", F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -268,9 +274,9 @@ def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` without all but one row of each component."""
     sealed = Sealed(docs)
     rows, classes = classified(sealed, percent)
-    counted = cut(rows.filter("digest is not null").groupBy("digest", *NAME).agg(F.count("*").alias("rows")).join(classes, "digest").select("label", *NAME, "rows"))
+    counted = fitted(rows.filter("digest is not null").groupBy("digest", *NAME).agg(F.count("*").alias("rows")).join(classes, "digest").select("label", *NAME, "rows"))
     first = counted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *NAME)).alias("first"))
-    told = counted.join(cut(first), "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    told = counted.join(bounded(cut(first)), "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     dropped = bounded(cut(told.filter("not stays").select(*NAME).distinct()))
     every = named(sealed)
     out = every.join(dropped, same(every, dropped), "left_anti")
