@@ -138,6 +138,13 @@ def test_modes(built, gold):
     assert {(r.query_id, r.item_id) for r in ablated["hybrid_reranked"].collect()} <= pool
 
 
+def test_any_retriever(spark):
+    """Metrics of a function from texts to items."""
+    gold = spark.createDataFrame([("q1", "b a", ["a"]), ("q2", "c", ["x"])], "query_id string, query_text string, required array<string>")
+    rows = {r.query_id: r for r in evaluate.evaluated(gold.drop("query_text"), evaluate.listed_by(gold, str.split)).collect()}
+    assert (rows["q1"].mrr, rows["q1"].recall_at_5, rows["q2"].mrr) == (0.5, 1.0, 0.0)
+
+
 def test_reports(spark, built, gold, tmp_path):
     _, tables = built
     chunks, scope = tables["numbered"], gold.filter("evaluation_scope = 'change_retrieval'")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,16 @@ def listed(ranking: DataFrame, item: str = "item") -> DataFrame:
     return ranking.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", item))), lambda s: s[item]).alias("found"))
 
 
+def listed_by(gold: DataFrame, run_query: Callable[[str], list[str]]) -> DataFrame:
+    """(query_id, found) of gold (query_id, query_text) by any function from a text to ranked items; it runs where the rows are."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(run_query(t)))
+
+    return gold.select("query_id", found("query_text").alias("found"))
+
+
 def evaluated(required: DataFrame, lists: DataFrame) -> DataFrame:
     """Metrics of every query of ``required`` (query_id, required, others)."""
     rows = required.join(lists, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast(lists.schema["found"].dataType)))
