@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Sealed, let, strip, table, words
+from .common import Sealed, let, strip, table, words
 
 #: A doc loses a line with these in it, if the line is short.
 BOILERPLATE = "(?i)(licensed? under|all rights reserved|copyright|apache license|creative commons|cookie|privacy policy|terms of (use|service)|subscribe|newsletter|click here|read more|sign (in|up)|log in|javascript)"

@@ -34,6 +34,8 @@ MOST_RULES = 500
 DAMPING, ROUNDS, SETTLED, FAMILY, LEAST_SHARE = 0.85, 29, 1e-9, 1.0, 0.5
 #: With up to this many edges the scores (two for a host at most) go to all executors in each step, else steps are joined by a shuffle.
 BROADCAST_EDGES = 2_000_000
+#: With up to this many hosts their scores go to the pages, else both are joined by a shuffle.
+BROADCAST_HOSTS = 1_000_000
 #: Edges of a partition.
 TASK_EDGES = 200_000
 #: IP addresses, which are not subdomains of anything.
@@ -144,7 +146,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, least_share: f
     seeds = counts.select("host", (F.col("a") / max(1, total[0])).alias("trusted"), (F.col("b") / max(1, total[1])).alias("blocked"))
     scores = spread(host_edges(placed.select("host", sealed.of("html", "string").alias("html"))), seeds)
     scores = scores.select("host", suspect(F.col("trust"), F.col("distrust"), least_share).alias("suspect"), shown(F.col("trust")).alias("trust"), shown(F.col("distrust")).alias("distrust"))
-    out = ruled.join(scores, "host", "left")
+    scores = cut(scores)
+    out = ruled.join(F.broadcast(scores) if scores.count() <= BROADCAST_HOSTS else scores, "host", "left")
     verdict = F.coalesce("said", F.when(F.col("suspect"), "block").otherwise("allow"))
     results = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": verdict, "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))}
     return sealed.opened(out, results, ("html",))
