@@ -48,7 +48,7 @@ BROADCAST_IDS = 2_000_000
 #: Buckets up to this many nodes are compared as pairs of rows, larger ones in blocks.
 SMALL = 16
 #: A block holds about so many shingles and nodes.
-BLOCK_SHINGLES, BLOCK_NODES = 250_000, 256
+BLOCK_SHINGLES, BLOCK_NODES = 250_000, 128
 #: Narrow rows of a partition.
 TASK_ROWS = 10_000
 #: What names a row's text without moving it.
@@ -257,7 +257,7 @@ def classified(sealed: Sealed, percent: int = 75) -> tuple[DataFrame, DataFrame]
     more = fitted(verified(texts, classes, pairs, percent).union(_in_blocks(texts, classes, rest.filter(F.col("members") > SMALL).select("band", "node", "n", "label"), percent)))
     final = components(links.union(more)) if more.limit(1).count() else known
     of_all = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = of_all.filter("label != node").select("label").distinct().join(of_all, "label").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = of_all.groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("label", "least")
     joined = of_all.join(bounded(cut(least)), "label", "left")
     return meta.drop("bands"), joined.select("digest", "label", F.coalesce("least", "doc_id").alias("component_id"))
 
