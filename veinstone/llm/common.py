@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +104,15 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the machine, as a worker process outlives its tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit counter-based generator; maps uint64 to uint64 one to one."""
     with np.errstate(over="ignore"):

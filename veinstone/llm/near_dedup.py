@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sealed, cut, mix64, table
+from .common import Sealed, cut, mix64, release, table
 from .graph import components
 
 SHINGLE = 5
@@ -120,6 +120,7 @@ def _sketched(batches):
             n, d, b = seen[key]
             sizes.append(n), digests.append(d), banded.append(b)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "digest", "bands"])
+    release()
 
 
 def _sets(batches):
@@ -131,6 +132,7 @@ def _sets(batches):
                 nodes.append(node)
                 found.append(shingles(text).view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+    release()
 
 
 def named(sealed: Sealed) -> DataFrame:

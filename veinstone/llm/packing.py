@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sealed, cut, table
+from .common import Sealed, cut, release, table
 
 LENGTH = 2048
 END_ID = 1
@@ -114,6 +114,8 @@ def _tokenised(seed: int, length: int):
                 out += [(doc, start, n, crc, total, key) for start, n, crc in pieces]
             columns = list(zip(*out, strict=True)) or [[]] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
+        del encode
+        release()
 
     return run
 

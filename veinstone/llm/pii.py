@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sealed, table
+from .common import Sealed, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the field labels.
@@ -608,6 +608,7 @@ def _found(field: Field, wanted: list[str]):
                     c.append(v)
             made = [pa.array(columns[n], pa.int64() if n.startswith("n_") else pa.string()) for n in wanted]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, [*batch.schema.names[:-1], *wanted])
+        release()
 
     return run
 
