@@ -162,7 +162,9 @@ def test_reports(spark, built, gold, tmp_path):
     assert "Client.open REPLACEMENT" in text["multi_change"] and "> " in text["exact_symbol"] and "NOT FOUND" in text["negative"]
 
 
-def test_bm25_by_joins(spark):
+@pytest.mark.parametrize("cells", [0, retrieve.DENSE_CELLS])
+def test_bm25_by_joins(spark, monkeypatch, cells):
+    monkeypatch.setattr(retrieve, "DENSE_CELLS", cells)
     docs = spark.createDataFrame([(i, f"words {i % 7} here and {'there ' * (i % 3)}") for i in range(60)], "item_id long, text string")
     asked = spark.createDataFrame([("a", "words 3 there there"), ("b", "none of it"), ("c", "")], "query_id string, text string")
     one, two = (sorted(map(tuple, f(docs, asked, 7).collect())) for f in (retrieve.bm25, retrieve.by_postings))

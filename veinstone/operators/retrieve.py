@@ -21,6 +21,8 @@ from ..session import sound
 K1, B, RRF_K, CANDIDATES, OUTPUT = 1.5, 0.75, 60, 40, 10
 #: Vector queries are scored in blocks of this many, word queries together up to so many words.
 QUERY_BLOCK, QUERY_TERMS = 2000, 5_000_000
+#: Words times queries up to which their weights are a plain matrix (32 MB).
+DENSE_CELLS = 4_000_000
 
 # Fixed pattern: what a token is.
 _TOKEN = re.compile(r"[A-Za-z_]\w*(?:[.:#]{1,2}[A-Za-z_]\w*)*|\d+(?:\.\d+)*")
@@ -122,10 +124,14 @@ def _bm25(items: DataFrame, asked: list, k: int, k1: float, b: float, id_type: s
     df = np.array([stats.get(i, 0) for i in range(len(index))], np.float64)
     weight = (times * np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)))[order]
     starts = np.searchsorted(term[order], np.arange(len(index) + 1))
-    sent = spark.sparkContext.broadcast((starts, query[order], weight, pa.array([q for q, _ in asked], _arrow(id_type))))
+    cells = None
+    if len(index) * len(asked) <= DENSE_CELLS:  # few enough for a plain matrix, which is faster where most queries share words with a text
+        cells = np.zeros((len(index), len(asked)))
+        cells[term[order], query[order]] = weight
+    sent = spark.sparkContext.broadcast((starts, query[order], weight, cells, pa.array([q for q, _ in asked], _arrow(id_type))))
 
     def score(batches):
-        index, (starts, by_word, weights, ids) = words.value, sent.value
+        index, (starts, by_word, weights, cells, ids) = words.value, sent.value
         for batch in batches:
             rows, terms, shares = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
@@ -139,21 +145,36 @@ def _bm25(items: DataFrame, asked: list, k: int, k1: float, b: float, id_type: s
             names = batch.column(0)
             if not rows:
                 continue
+            place = np.empty(batch.num_rows, np.int64)
+            place[pa.compute.sort_indices(names).to_numpy()] = np.arange(batch.num_rows)
+            if cells is not None:
+                for at in range(0, len(rows), 512):
+                    own = np.array([int(r[0]) for r in rows[at : at + 512]])
+                    scores = np.stack([s @ cells[t] for s, t in zip(shares[at : at + 512], terms[at : at + 512], strict=True)]).round(6)
+                    least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(own) > k > 0 else np.zeros(len(ids))
+                    r, q = np.nonzero((scores > 0) & (scores >= least))
+                    keep = _kept(q, scores[r, q], place[own[r]], k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[keep])), names.take(pa.array(own[r[keep]])).cast(_arrow(item_type)), pa.array(scores[r[keep], q[keep]])], ["query_id", "item_id", "score"])
+                continue
             # Some millions of (query, row) shares at a time.
             row, term, share = np.concatenate(rows), np.concatenate(terms), np.concatenate(shares)
             many = starts[term + 1] - starts[term]
             cuts = np.searchsorted(np.cumsum(many), np.arange(4_000_000, int(many.sum()) + 4_000_000, 4_000_000))
             bounds = sorted({0, *(int(np.searchsorted(row, row[min(c, len(row) - 1)], "right")) for c in cuts), len(row)})
-            place = np.empty(batch.num_rows, np.int64)
-            place[pa.compute.sort_indices(names).to_numpy()] = np.arange(batch.num_rows)
             for low, high in zip(bounds, bounds[1:], strict=False):
                 m = many[low:high]
                 at = np.repeat(starts[term[low:high]] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(int(m.sum()))
-                key = by_word[at] * batch.num_rows + np.repeat(row[low:high], m)
-                pair, inverse = np.unique(key, return_inverse=True)
-                scores = np.bincount(inverse, weights[at] * np.repeat(share[low:high], m)).round(6)
-                q, r = np.divmod(pair[scores > 0], batch.num_rows)
-                scores = scores[scores > 0]
+                if low == high:
+                    continue
+                start, wide = int(row[low]), int(row[high - 1] - row[low]) + 1
+                key, value = by_word[at] * wide + np.repeat(row[low:high] - start, m), weights[at] * np.repeat(share[low:high], m)
+                if len(ids) * wide <= 8 * len(key):  # most pairs are there: sums by place, else by sorting
+                    pair, scores = np.arange(len(ids) * wide), np.bincount(key, value, len(ids) * wide).round(6)
+                else:
+                    pair, inverse = np.unique(key, return_inverse=True)
+                    scores = np.bincount(inverse, value).round(6)
+                q, r = np.divmod(pair[scores > 0], wide)
+                scores, r = scores[scores > 0], r + start
                 keep = _kept(q, scores, place[r], k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[keep])), names.take(pa.array(r[keep])).cast(_arrow(item_type)), pa.array(scores[keep])], ["query_id", "item_id", "score"])
 
