@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_text_operators import WORD, components_of, frame, shingle_set
-from veinstone.llm import common, media, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, url_graph, warc
+from veinstone.llm import common, graph, media, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding, url_graph, warc
 
 #: Names that operators use for themselves or for results, or that differ from an input's in case only.
 NAMES = ["_w", "_lines", "_how", "_draw", "draw", "other", "size", "kept", "cleaned", "n_words", "TEXT", "in_0", "in_1", "text_hash", "node", "label", "digest", "number", "how", "host", "said", "verdict", "doc_key", "copies", "whole", "spans", "redacted", "a.b", "shard", "taken"]
@@ -113,6 +113,36 @@ def test_strangers_in_a_big_bucket(spark, monkeypatch):
     assert got == want
 
 
+def test_rounds_of_components(spark, monkeypatch):
+    """A small graph is one task a round, however many partitions a shuffle has; a larger one, by shuffles, gives the same."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(140)] + [(7, 7), (101, 100)]
+    want = {a: a for e in edges for a in e if e[0] != e[1]}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    df, tracker = spark.createDataFrame(edges, "a long, b long"), spark.sparkContext.statusTracker()
+    labels = lambda: sorted(tuple(r) for r in graph.components(df).collect())
+    kept = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("small", "small")
+        assert labels() == sorted(want.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("small") for s in tracker.getJobInfo(j).stageIds}
+    # The edges' own shuffle and its count; no round adds another.
+    assert sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i) < 4 * 50
+    monkeypatch.setattr(graph, "TASK_EDGES", 20)
+    assert labels() == sorted(want.items())
+    assert graph.components(df.limit(0)).count() == 0
+
+
 def test_repeats_in_mixing(spark):
     rows = [(1, "a b c d e f g h i", "s1")] * 3000 + [(None, "q r s", "s2")] * 7 + [(i, " ".join(f"w{j}" for j in range(i % 40)), "s0") for i in range(300)] + [(4, "x y", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
